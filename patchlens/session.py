@@ -39,6 +39,7 @@ def build_session(master: str | None = None, app: str = "patchlens",
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
     conf.setdefault("spark.ui.enabled", "false")
+    conf.setdefault("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
