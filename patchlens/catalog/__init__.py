@@ -78,4 +78,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-MODULES = ["prep", "textq", "commits", "profileq"]
+MODULES = ["prep", "textq", "commits", "profileq", "splitsq"]

@@ -111,11 +111,10 @@ def split_projects(df: DataFrame, test_frac: float = 0.25, seed: int = DEFAULT_S
     The table has one row per distinct project.
     """
     projects = df.select(col).distinct().withColumn("_pkey", hash_key(col, seed))
-    n = projects.agg(F.count(F.lit(1)).alias("_n_projects"))
-    n_test = F.greatest(F.lit(1), F.floor(F.col("_n_projects") * F.lit(test_frac))).cast("long")
+    n = projects.agg(F.count(F.lit(1))).scalar()          # scalar subquery
+    n_test = F.greatest(F.lit(1), F.floor(n * F.lit(test_frac))).cast("long")
     ranked = hash_rank(projects, "_pkey", out="_prank", digits=2)
-    return (ranked.crossJoin(F.broadcast(n))          # one-row frame
-            .select(col, F.when(F.col("_prank") <= n_test, "test").otherwise("train").alias("split")))
+    return ranked.select(col, F.when(F.col("_prank") <= n_test, "test").otherwise("train").alias("split"))
 
 
 def project_wise_split(df: DataFrame, test_frac: float = 0.25, seed: int = DEFAULT_SEED,

@@ -90,15 +90,12 @@ def funnel_counts(raw: DataFrame, quotas: dict = QUOTAS, chunk_size: int = CHUNK
     for c, q in quotas.items():
         full = full & (F.coalesce(F.col(f"c{c}"), F.lit(0)) >= q)
     last = F.greatest(*[F.col(f"l{c}") for c in quotas])
-    stop = per.select(F.when(full, last).alias("stop_row_id"))
-    pos = (raw.select("row_id").crossJoin(F.broadcast(stop))          # one-row frame
-           .agg(F.sum(F.when(F.col("row_id") <= F.col("stop_row_id"), 1).otherwise(0)).alias("pos"),
-                F.max("stop_row_id").alias("stop_row_id")))
-    seen = (pos.crossJoin(F.broadcast(total))
-            .select(F.when(F.col("stop_row_id").isNull(), F.col("total"))
-                    .otherwise(F.least(F.col("total"),
-                                       (F.ceil(F.col("pos") / chunk_size) + 1) * chunk_size))
-                    .cast("long").alias("n")))
+    stop = per.select(F.when(full, last)).scalar()                  # scalar subquery
+    n_total = total.select("total").scalar()
+    pos = raw.agg(F.sum(F.when(F.col("row_id") <= stop, 1).otherwise(0)).alias("pos"))
+    seen = pos.select(F.when(stop.isNull(), n_total)
+                      .otherwise(F.least(n_total, (F.ceil(F.col("pos") / chunk_size) + 1) * chunk_size))
+                      .cast("long").alias("n"))
     dedup = ready(raw, quotas).agg(F.count(F.lit(1)).cast("long").alias("n"))
     vul = per.select(F.coalesce(F.col("c1"), F.lit(0)).cast("long").alias("n"))
     safe = per.select(F.coalesce(F.col("c0"), F.lit(0)).cast("long").alias("n"))
