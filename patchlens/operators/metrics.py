@@ -64,25 +64,31 @@ def precision_recall_f1(df: DataFrame, threshold, score="score", label="label")
 
 
 # prefix sums over distinct scores
-def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    return (df.groupBy(F.col(score).alias("s"))
+def score_counts(df: DataFrame, score: str = "score", label: str = "label", by: list[str] = ()) -> DataFrame:
+    return (df.groupBy(*by, F.col(score).alias("s"))
             .agg(F.sum(_pos(label)).cast("long").alias("pos"), F.sum(_neg(label)).cast("long").alias("neg")))
 
 
-def cumulative_desc(counts: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Per distinct score s: pos, neg, tp = positives with score >= s, fp likewise."""
+def cumulative_desc(counts: DataFrame, n_buckets: int = DEFAULT_BUCKETS, by: list[str] = ()) -> DataFrame:
+    """Per (group, distinct score s): pos, neg, tp = positives scored >= s, fp likewise."""
+    by = list(by)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = counts.agg(F.percentile_approx("s", probs, 10000).alias("cuts")).scalar()
-    bucketed = counts.withColumn("_b", F.size(F.filter(cuts, lambda c: c < F.col("s"))))
-    totals = bucketed.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_b").alias("_ob"),
+    # bucket = number of distinct cut points below s (no lambda: the cuts are a subquery)
+    merged = F.sort_array(F.array_union(cuts, F.array(F.col("s"))))
+    bucketed = counts.withColumn("_b", F.array_position(merged, F.col("s")) - 1)
+    totals = bucketed.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    above = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias("_o_" + c) for c in by], F.col("_b").alias("_ob"),
                             F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),
                             F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_on"))
-    inside = Window.partitionBy("_b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    # offsets has at most n_buckets rows
-    j = bucketed.join(F.broadcast(offsets), F.col("_b") == F.col("_ob"))
-    return j.select("s", "pos", "neg",
+    inside = Window.partitionBy(*by, "_b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cond = F.col("_b") == F.col("_ob")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col("_o_" + c))
+    # offsets: at most n_buckets rows per group
+    j = bucketed.join(offsets, cond)
+    return j.select(*by, "s", "pos", "neg",
                     (F.sum("pos").over(inside) + F.col("_op")).cast("long").alias("tp"),
                     (F.sum("neg").over(inside) + F.col("_on")).cast("long").alias("fp"))
 
@@ -94,13 +100,22 @@ def _totals(counts: DataFrame):
 
 # A15 / A16
 def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label",
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """ROC AUC (ties count half) and step-wise average precision."""
-    counts = score_counts(df, score, label)
-    cum = cumulative_desc(counts, n_buckets)
-    P, N = _totals(counts)
+                    n_buckets: int = DEFAULT_BUCKETS, by: list[str] = ()) -> DataFrame:
+    """ROC AUC (ties count half) and step-wise average precision, per group."""
+    by = list(by)
+    counts = score_counts(df, score, label, by)
+    cum = cumulative_desc(counts, n_buckets, by)
+    if by:
+        w = Window.partitionBy(*by)
+        cum = cum.withColumn("_P", F.sum("pos").over(w)).withColumn("_N", F.sum("neg").over(w))
+        P, N = F.col("_P"), F.col("_N")
+    else:
+        P, N = _totals(counts)
     auc_term = F.col("pos") * (N - F.col("fp") + 0.5 * F.col("neg"))
     ap_term = (F.col("pos") / P) * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    if by:
+        return cum.groupBy(*by).agg((F.sum(auc_term) / (F.max("_P") * F.max("_N"))).alias("auc"),
+                                    F.sum(ap_term).alias("prauc"))
     return cum.agg((F.sum(auc_term) / (P * N)).alias("auc"), F.sum(ap_term).alias("prauc"))
 
 
