@@ -150,16 +150,31 @@ def best_threshold(df: DataFrame, score: str = "score", label: str = "label",
 
 
 # A19
-def metrics_at(df: DataFrame, threshold, kind: str, score="score", label="label",
-               ranking: DataFrame | None = None) -> DataFrame:
-    """One metric row at a threshold (a number or a scalar Column)."""
-    rk = ranking if ranking is not None else ranking_metrics(df, score, label)
-    cc = confusion_counts(df, threshold, score, label)
+def grouped_metrics(scores: DataFrame, by=(), threshold=0.5, score: str = "score",
+                    label: str = "label") -> DataFrame:
+    """Per group: threshold, confusion counts at ``score >= threshold``, P/R/F1,
+    ROC AUC and AP.  ``threshold`` may be a number or a scalar Column; it is
+    only used inside the aggregate."""
+    by = list(by)
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return cc.select(F.lit(kind).alias("kind"), t.cast("double").alias("threshold"),
-                     "tp", "fp", "fn", "tn", *prf_columns(),
-                     F.lit(rk.select("auc").scalar()).alias("auc"),
-                     F.lit(rk.select("prauc").scalar()).alias("prauc"))
+    p = F.col(score) >= t
+    y = F.col(label) == 1
+    keys = by if by else [F.lit(1).alias("_g")]
+    cc = scores.groupBy(*keys).agg(F.max(t.cast("double")).alias("threshold"),
+                                   F.sum(F.when(p & y, 1).otherwise(0)).cast("long").alias("tp"),
+                                   F.sum(F.when(p & ~y, 1).otherwise(0)).cast("long").alias("fp"),
+                                   F.sum(F.when(~p & y, 1).otherwise(0)).cast("long").alias("fn"),
+                                   F.sum(F.when(~p & ~y, 1).otherwise(0)).cast("long").alias("tn"))
+    if by:
+        rk = ranking_metrics(scores, score, label, by=by)
+        return cc.join(rk, by).select(*by, "threshold", "tp", "fp", "fn", "tn", *prf_columns(), "auc", "prauc")
+    rk = ranking_metrics(scores.withColumn("_g", F.lit(1)), score, label, by=["_g"])
+    return cc.join(rk, "_g").select("threshold", "tp", "fp", "fn", "tn", *prf_columns(), "auc", "prauc")
+
+
+def metrics_at(df: DataFrame, threshold, kind: str, score="score", label="label") -> DataFrame:
+    """One metric row at a threshold (a number or a scalar Column)."""
+    return grouped_metrics(df, (), threshold, score, label).select(F.lit(kind).alias("kind"), "*")
 
 
 def metrics_at_thresholds(df: DataFrame, score="score", label="label", tune_on: DataFrame | None = None,
@@ -169,10 +184,9 @@ def metrics_at_thresholds(df: DataFrame, score="score", label="label", tune_on:
     The threshold is tuned on ``tune_on`` (a validation frame) when given,
     else on ``df`` itself.
     """
-    rk = ranking_metrics(df, score, label)
     tuned = best_threshold(tune_on if tune_on is not None else df, score, label).select("threshold").scalar()
-    return metrics_at(df, default, "default", score, label, rk).unionByName(
-        metrics_at(df, tuned, "tuned", score, label, rk))
+    return metrics_at(df, default, "default", score, label).unionByName(
+        metrics_at(df, tuned, "tuned", score, label))
 
 
 # A20

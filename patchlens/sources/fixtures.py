@@ -140,3 +140,30 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (docs.join(labels, "doc_id")
             .select(F.col("doc_id").alias("row_id"), F.col("text"),
                     F.col("source").alias("project"), F.col("toxic").cast("int").alias("label")))
+
+
+# Experiment names and model names of the results table.
+EXPERIMENTS = [
+    "Exp-A: All 11 features",
+    "Exp-B: No patch-size (lines_added/removed)",
+    "Exp-C: Structural + complexity (honest enriched)",
+    "Exp-D: Complexity only (no size at all)",
+]
+MODELS = ["Logistic Regression", "Random Forest"]
+
+
+def experiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(experiment, model, row_id, label, score): one deterministic score per
+    (experiment, model) over documents x labels, for the results-table jobs."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    combos = []
+    m = 1
+    for e in EXPERIMENTS:
+        for mo in MODELS:
+            m += 2
+            combos.append(F.struct(F.lit(e).alias("experiment"), F.lit(mo).alias("model"), F.lit(m).alias("m")))
+    j = docs.join(labels, "doc_id").select("doc_id", "n_chars", "toxic", F.explode(F.array(*combos)).alias("c"))
+    return j.select("c.experiment", "c.model", F.col("doc_id").alias("row_id"),
+                    F.col("toxic").cast("int").alias("label"),
+                    (((F.col("n_chars") * F.col("c.m")) % 101).cast("double") / 100.0).alias("score"))
