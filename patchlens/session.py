@@ -90,3 +90,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def local_path_exists(path: str) -> bool:
     return os.path.exists(path)
+
+
+def materialize(df):
+    """Cut a finished stage's lineage: reliable checkpoint into the shared
+    folder (survives executor loss; never a machine-local copy)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
