@@ -72,11 +72,15 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", by:
 def cumulative_desc(counts: DataFrame, n_buckets: int = DEFAULT_BUCKETS, by: list[str] = ()) -> DataFrame:
     """Per (group, distinct score s): pos, neg, tp = positives scored >= s, fp likewise."""
     by = list(by)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = counts.agg(F.percentile_approx("s", probs, 10000).alias("cuts")).scalar()
-    # bucket = number of distinct cut points below s (no lambda: the cuts are a subquery)
-    merged = F.sort_array(F.array_union(cuts, F.array(F.col("s"))))
-    bucketed = counts.withColumn("_b", F.array_position(merged, F.col("s")) - 1)
+    if n_buckets <= 1:
+        bucketed = counts.withColumn("_b", F.lit(0).cast("long"))
+    else:
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        cuts = counts.agg(F.percentile_approx("s", probs, 10000).alias("cuts")).scalar()
+        cuts = F.coalesce(cuts, F.array().cast("array<double>"))
+        # bucket = number of distinct cut points below s (no lambda: the cuts are a subquery)
+        merged = F.sort_array(F.array_union(cuts, F.array(F.col("s").cast("double"))))
+        bucketed = counts.withColumn("_b", F.array_position(merged, F.col("s").cast("double")) - 1)
     totals = bucketed.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     above = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(c).alias("_o_" + c) for c in by], F.col("_b").alias("_ob"),
