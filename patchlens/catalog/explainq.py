@@ -13,6 +13,7 @@ from patchlens.functions import text as T
 from patchlens.functions.enrich import enrich_all
 from patchlens.operators import explain as X
 from patchlens.operators import sampling as W
+from patchlens.session import materialize
 from patchlens.sources.fixtures import functions_raw
 
 # Structural + complexity feature set (the explained model's inputs).
@@ -34,7 +35,8 @@ def _long(spark, sf):
 
 
 def _scaled(spark, sf):
-    long = _long(spark, sf)
+    # read three times below (scaler stats, background, explained rows): cut once
+    long = materialize(_long(spark, sf))
     stats = X.scaler_stats(long.filter(F.col("split") == "train"))
     return X.standard_scale(long, stats)
 

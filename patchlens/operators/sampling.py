@@ -16,10 +16,10 @@ Scale notes
   partial aggregate, turned into offsets over a tiny table, and rows are
   ranked inside (class, bucket) partitions.  No partition holds a whole
   class.
-* Keep-first deduplication (W2) is an aggregate (min of the order key per
-  duplicate group, map-side combined) followed by a semi join on the unique
-  row key; a group of copies holding a third of the rows collapses to one
-  row per task before the shuffle.
+* Keep-first deduplication (W2) is one aggregate (``min_by`` of the row by
+  its order key per duplicate group, map-side combined); a group of copies
+  holding a third of the rows collapses to one row per task before the
+  shuffle.
 """
 
 from __future__ import annotations
@@ -90,9 +90,17 @@ def quota_cutoffs(df: DataFrame, quotas: dict, label: str = "label", order: str
 
 # W2
 def dedup_keep_first(df: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
-    """Drop rows whose ``keys`` repeat an earlier row (by ``order``, unique)."""
-    firsts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(order).alias(order))
-    return df.join(firsts.select(order), order, "left_semi")
+    """Drop rows whose ``keys`` repeat an earlier row (by ``order``, unique).
+
+    One aggregation: per duplicate group the row with the smallest ``order``
+    (``min_by`` over the other columns), combined map-side, so a group of
+    copies holding a large share of the rows shrinks to one row per task
+    before the shuffle, and the input is read once.
+    """
+    others = [c for c in df.columns if c not in keys]
+    kept = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(order)).alias("_first"))
+    return kept.select(*[F.col(f"`{k}`") for k in keys], "_first.*").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 # W3
