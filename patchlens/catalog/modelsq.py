@@ -109,11 +109,11 @@ def _check_sql() -> str:
 def check_features(spark, sf):
     """Required features missing from the enriched table, per experiment."""
     en = PP.enriched(functions_raw(spark, sf))
-    n = en.agg(F.count(F.lit(1)).alias("n_rows"))
+    n_rows = en.agg(F.count(F.lit(1))).scalar()          # scalar subquery
     rows = [(i, name, len(feats), ",".join(ML.missing(en.columns, feats)))
             for i, (name, feats) in enumerate(ML.EXPERIMENT_FEATURES.items())]
     exp = spark.createDataFrame(rows, "ord int, experiment string, n_features int, missing string")
-    return exp.join(F.broadcast(n), how="cross")     # one-row frame
+    return exp.select("*", n_rows.alias("n_rows"))
 
 
 @register("train_text_model")
@@ -183,4 +183,4 @@ def sampled_shap(spark, sf):
 
     def predict(df):
         return ML.score(model, ML.assemble(df, z)).select(*[c for c in df.columns], "prob")
-    return X.sampled_shap(explain, z, bg, predict, n_perm=4)
+    return X.sampled_shap(explain, z, bg, predict, n_perm=16)

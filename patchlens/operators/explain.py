@@ -97,39 +97,42 @@ def shap_waterfall(shap_long: DataFrame) -> DataFrame:
 
 
 # M14
-def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, predict, n_perm: int = 8,
+def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, predict, n_perm: int = 16,
                  seed: int = 42, id_col: str = "row_id") -> DataFrame:
-    """Model-agnostic Shapley values by sampled permutations (Monte Carlo).
-
-    For each explained row, permutation p and background row b, features
-    before position j in the permutation come from the row and the rest from
-    b; the marginal gain of adding feature j is averaged.  ``rows`` and
-    ``background`` must be capped samples (the work is rows x permutations x
-    background x features).  ``predict(df)`` maps a DataFrame with the
-    feature columns to one with a ``prob`` column (e.g. a Spark ML model's
-    transform).  Returns (row_id, feature, phi).
+    """Model-agnostic Shapley values by permutation sampling (Monte Carlo).
+
+    Each explained row gets ``n_perm`` samples; sample p draws a feature
+    permutation (a seeded hash order) and one background row (a seeded hash
+    of (row, p) modulo the background size).  Features placed before j in
+    the permutation come from the row, the rest from the background row;
+    phi_j averages the gain of switching feature j to the row's value.
+    No all-pairs product: each sample is an equi-join to one background row.
+    ``rows`` and ``background`` should be capped samples; ``predict(df)``
+    returns df with a ``prob`` column.  Returns (row_id, feature, phi).
     """
-    m = len(features)
-    perms = rows.sparkSession.range(n_perm).withColumnRenamed("id", "perm")
-    order = F.array_sort(F.transform(F.array(*[F.lit(f) for f in features]),
-                                     lambda f: F.struct(F.md5(F.concat(f, F.lit(":"), F.col("perm").cast("string"),
-                                                                        F.lit(f":{seed}"))).alias("k"),
-                                                        f.alias("f"))))
-    plan = perms.select("perm", F.transform(order, lambda x: x["f"]).alias("order"))
-    bg = background.select(*[F.col(f).alias("bg_" + f) for f in features]).withColumn("bg_id", F.monotonically_increasing_id())
-    base = rows.select(id_col, *features)
-    # rows x perms x background: bounded by the caps of the two samples
-    grid = base.join(F.broadcast(plan), how="cross").join(F.broadcast(bg), how="cross")
-    steps = grid.select("*", F.posexplode(F.col("order")).alias("j", "feat"))
+    spark = rows.sparkSession
+    bg = background.select(*[F.col(f).alias("bg_" + f) for f in features])
+    bg = bg.withColumn("_bk", F.md5(F.concat_ws(":", *[F.col("bg_" + f).cast("string") for f in features])))
+    bg = bg.withColumn("bg_idx", F.row_number().over(Window.orderBy("_bk")) - 1).drop("_bk")   # capped rows
+    n_bg = bg.count()
+    perms = spark.range(n_perm).withColumnRenamed("id", "perm")
+    keyed = F.transform(F.array(*[F.lit(f) for f in features]),
+                        lambda f: F.struct(F.md5(F.concat(f, F.lit(":"), F.col("perm").cast("string"),
+                                                          F.lit(f":{seed}"))).alias("k"), f.alias("f")))
+    plan = perms.select("perm", F.transform(F.array_sort(keyed), lambda x: x["f"]).alias("order"))
+    samples = (rows.select(id_col, *features, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+               .withColumn("bg_idx", F.pmod(F.xxhash64(F.col(id_col), F.col("perm"), F.lit(seed)), F.lit(n_bg)))
+               .join(F.broadcast(plan), "perm")          # n_perm rows
+               .join(F.broadcast(bg), "bg_idx"))         # capped background
+    steps = samples.select("*", F.posexplode(F.col("order")).alias("j", "feat"))
     out = []
     for with_j in (0, 1):
         cols = []
         for f in features:
             pos_f = F.array_position(F.col("order"), F.lit(f)) - 1
-            take_row = pos_f < (F.col("j") + with_j)
-            cols.append(F.when(take_row, F.col(f)).otherwise(F.col("bg_" + f)).alias(f))
-        out.append(steps.select(id_col, "perm", "bg_id", "feat", *cols))
-    lo = predict(out[0]).select(id_col, "perm", "bg_id", "feat", F.col("prob").alias("p0"))
-    hi = predict(out[1]).select(id_col, "perm", "bg_id", "feat", F.col("prob").alias("p1"))
-    gain = lo.join(hi, [id_col, "perm", "bg_id", "feat"])
+            cols.append(F.when(pos_f < (F.col("j") + with_j), F.col(f)).otherwise(F.col("bg_" + f)).alias(f))
+        out.append(steps.select(id_col, "perm", "feat", *cols))
+    lo = predict(out[0]).select(id_col, "perm", "feat", F.col("prob").alias("p0"))
+    hi = predict(out[1]).select(id_col, "perm", "feat", F.col("prob").alias("p1"))
+    gain = lo.join(hi, [id_col, "perm", "feat"])
     return gain.groupBy(id_col, F.col("feat").alias("feature")).agg(F.avg(F.col("p1") - F.col("p0")).alias("phi"))
