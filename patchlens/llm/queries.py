@@ -1,7 +1,10 @@
 """The thin queries over the operators: production parameters, whole tables, the contracts' columns."""
 from __future__ import annotations
 
-from patchlens.llm import simhash
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from patchlens.llm import bpe, packing, simhash
 from patchlens.llm.common import Handoff, read_table
 from patchlens.llm.registry import query
 
@@ -12,3 +15,23 @@ def op5(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs, Handoff(spark), shingle=4, radius=4) \
         .select("doc_id", "fingerprint", "component_id")
+
+
+@query("op9_bpe_roundtrip")
+def op9(spark, sf_dir):
+    """All documents encoded by prefix dynamic programming, and decoded again."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    done = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return done.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_packing")
+def op10(spark, sf_dir):
+    """All documents packed into sequences of at most 1024 ids."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
