@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patchlens.llm import bpe, packing, simhash
+from patchlens.llm import bpe, chat, packing, quality, sharding, simhash
 from patchlens.llm.common import Handoff, read_table
 from patchlens.llm.registry import query
 
@@ -35,3 +35,75 @@ def op10(spark, sf_dir):
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
+
+
+@query("op1_sharding")
+def op1(spark, sf_dir):
+    """All documents in 16 shards of nearly equal bytes, equal texts together."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return sharding.shard(docs, Handoff(spark), 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+CHAT_SQL = r"""
+with rows as (
+  select conv_id, turn, role, text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from rows),
+c as (
+  select conv_id, count(*) as n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+    sum(length('<|turn|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1
+      + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|end|>') + 1) as formatted_chars
+  from t group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
+  cast(formatted_chars as bigint) as formatted_chars
+from c
+"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def op7(spark, sf_dir):
+    """All conversations formatted, and read back from the output."""
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    out = chat.format_conversations(turns.unionByName(planted))
+    read = F.array_join(F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", "n_turns", "formatted", read.alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+QUALITY_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+l as (select r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+g as (select r, i, w[i:i + 4] as g from (select r, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
+rep as (select r, count(distinct i + k) as n from (
+    select r, i from (select *, count(*) over (partition by r, g) as c from g) where c > 1) as t, range(5) as o(k) group by r),
+m as (
+  select r, doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-z]'))) as n_upper_words
+  from w join l using (r) left join rep using (r)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 100 * n_symbols > 10 * n_words or 100 * n_upper_words > 50 * n_words) as kept
+from b
+"""
+
+
+@query("op6_quality_rules", QUALITY_SQL)
+def op6(spark, sf_dir):
+    """All documents judged by the ledger's bits under the production policy."""
+    rows = quality.ledger(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality.rejected(quality.BASE).alias("base_failed"), (~quality.rejected(quality.PRODUCTION)).alias("kept"))
