@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patchlens.llm import bpe, chat, packing, quality, sharding, simhash
+from patchlens.llm import bpe, chat, packing, quality, sharding, simhash, substrings
 from patchlens.llm.common import Handoff, read_table
 from patchlens.llm.registry import query
 
@@ -107,3 +107,22 @@ def op6(spark, sf_dir):
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality.rejected(quality.BASE).alias("base_failed"), (~quality.rejected(quality.PRODUCTION)).alias("kept"))
+
+
+WORDS_SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select r, i, md5(array_to_string(w[i:i + 34], ' ')) as g from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+hit as (select r, i from (select *, count(*) over (partition by g) as c from g) where c > 1),
+gone as (select distinct r, i + k as p from hit, range(35) as o(k)),
+dead as (select r, list(p) as ps, count(*) as n from gone group by r),
+each as (select r, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+left_ as (select r, string_agg(word, ' ' order by p) as kept from each anti join gone using (r, p) group by r)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join dead using (r) left join left_ using (r)
+"""
+
+
+@query("op4_substring_dedup", WORDS_SQL)
+def op4(spark, sf_dir):
+    """All documents without the words of 35-word windows that are found again."""
+    return substrings.summary(read_table(spark, sf_dir, "documents", "doc_id", "text"), Handoff(spark), 35)
