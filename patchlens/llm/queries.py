@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patchlens.llm import bpe, chat, packing, quality, sharding, simhash, substrings
+from patchlens.llm import bpe, chat, packing, quality, sharding, simhash, substrings, suffix_dedup
 from patchlens.llm.common import Handoff, read_table
 from patchlens.llm.registry import query
 
@@ -126,3 +126,9 @@ from d left join dead using (r) left join left_ using (r)
 def op4(spark, sf_dir):
     """All documents without the words of 35-word windows that are found again."""
     return substrings.summary(read_table(spark, sf_dir, "documents", "doc_id", "text"), Handoff(spark), 35)
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    """All documents without the bytes of 400-byte strings that are found again."""
+    return suffix_dedup.summary(read_table(spark, sf_dir, "documents", "doc_id", "text"), Handoff(spark), 400)
