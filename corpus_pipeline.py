@@ -1,24 +1,48 @@
-"""Corpus pipeline over ``documents``; each stage applies one operator of ``patchlens.llm``.
+"""Corpus pipeline over ``documents``: quality rules, SimHash near-duplicates, repeated passages, packing.
 
-A stage takes (spark, docs, sf_dir); its result is written as Parquet and read
-again as the next stage's docs.
+Each stage applies one operator of ``patchlens.llm`` to all that its predecessor kept. A
+stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the
+next one's docs. All but the last return the columns of ``documents``.
 """
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patchlens.llm import simhash
+from patchlens.llm import packing, quality, simhash, substrings
 from patchlens.llm.common import Handoff, new_path
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the production policy rejects go."""
+    return quality.kept(docs, quality.PRODUCTION)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of every near-duplicate component stays."""
+    """One document of every near-duplicate component stays, that of the smallest doc_id."""
     return simhash.deduplicated(docs, Handoff(spark), shingle=4, radius=4)
 
 
-STAGES = [("simhash_near_dedup", simhash_stage)]
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 35-word windows that are found again are removed from the texts; no document goes."""
+    return substrings.without_repeats(docs, Handoff(spark), 35)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 ids."""
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("substring_dedup", substring_stage),
+    ("packing", packing_stage),
+]
 
-#: Packing and both deduplications have no SQL; tests compare the stages with brute force.
+#: Fingerprints, their components and packing have no SQL; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patchlens.llm import bpe, chat, packing, quality, sharding, simhash, substrings, suffix_dedup
+from patchlens.llm import bpe, chat, embeddings, packing, quality, sharding, simhash, substrings, suffix_dedup, warc
 from patchlens.llm.common import Handoff, read_table
 from patchlens.llm.registry import query
 
@@ -132,3 +132,52 @@ def op4(spark, sf_dir):
 def op2(spark, sf_dir):
     """All documents without the bytes of 400-byte strings that are found again."""
     return suffix_dedup.summary(read_table(spark, sf_dir, "documents", "doc_id", "text"), Handoff(spark), 400)
+
+
+VECTORS_SQL = r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+ok as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(e, lambda x: x <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach as (select vec_id, vec_id as seen from v union select reach.vec_id, e.b from reach join e on reach.seen = e.a),
+c as (select vec_id, min(seen) as component_id from reach group by vec_id),
+n as (select a, count(*) as n from e group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from c left join n on a = vec_id
+"""
+
+
+@query("op3_embedding_neardup", VECTORS_SQL)
+def op3(spark, sf_dir):
+    """All embeddings linked at cosine 0.98 inside their label."""
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), Handoff(spark))
+
+
+WARC_SQL = r"""
+with p as (select page_id // 256 as file, page_id, url, html, row_number() over (partition by page_id // 256 order by page_id) - 1 as ordinal from pages),
+t as (select *, chr(13) || chr(10) as nl, case when page_id % 97 = 0 and html <> '' then '?' || html[2:] else html end as html2 from p),
+r as (select *, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:x-page:' || page_id || '>' || nl || 'WARC-Target-URI: '
+    || coalesce(url, '') || nl || 'Content-Length: ' as head from t),
+w as (select *, head || strlen(coalesce(html, '')) || nl || nl || coalesce(html, '') || nl || nl as a,
+    head || strlen(coalesce(html2, '')) || nl || nl || coalesce(html2, '') || nl || nl as b from r),
+o as (select *, sum(strlen(a)) over (partition by file order by ordinal) - strlen(a) as "offset",
+    file % 29 = 0 and ordinal = max(ordinal) over (partition by file) and ordinal > 0 as cut from w)
+select file, ordinal, cast("offset" as bigint) as "offset", strlen(a) as length, case when cut then 'missing' else 'changed' end as status,
+  sha256(a) as hash_one, case when not cut then sha256(b) end as hash_other
+from o where cut or a <> b
+"""
+
+
+@query("op8_warc_fixity", WARC_SQL)
+def op8(spark, sf_dir):
+    """All pages as WARC records in files of 256 ids, audited against a replica with changed bytes and cut tails."""
+    work = Handoff(spark)
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("file", F.floor(F.col("page_id") / 256))
+    flipped = F.when((F.col("page_id") % 97 == 0) & (F.col("html") != ""), F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    one = warc.tree(warc.records(pages), work)
+    other = warc.records(pages.withColumn("html", flipped))
+    last = other.groupBy("file").agg(F.max("ordinal").alias("end")).withColumnRenamed("file", "f")
+    other = other.join(last, F.col("file").eqNullSafe(F.col("f"))).where(
+        (F.col("file") % 29 != 0) | (F.col("ordinal") < F.col("end")) | (F.col("end") == 0) | F.col("file").isNull())
+    return warc.audit(one, warc.tree(other, work), work)
