@@ -59,8 +59,8 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``fp``, the fingerprint's 64 bits as a signed long; null texts count as empty."""
+def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", keep: tuple = ("doc_id",), out: str = "fp") -> DataFrame:
+    """``keep`` columns and ``out``, the fingerprint's 64 bits as a signed long; null texts count as empty."""
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
 
     def run(batches):
@@ -72,9 +72,9 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", keep:
                 for i in range(len(off) - 1):
                     fp[first + i] = fingerprint(data[off[i]:off[i + 1]], shingle)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(fp.view(np.int64))], [*keep, "fp"])
+                [batch.column(c) for c in keep] + [pa.array(fp.view(np.int64))], [*keep, out])
 
-    schema = rows.drop("__text").schema.add("fp", "long", False)
+    schema = rows.drop("__text").schema.add(out, "long", False)
     return rows.mapInArrow(run, schema)
 
 
@@ -209,10 +209,15 @@ def near_duplicates(docs: DataFrame, work: Handoff, *, shingle: int = 4, radius:
                                      shingle=shingle), "prints")
     edges = work.write(links(prints, work, radius=radius), "edges")
     comp = connected_components(edges, work)
-    marked = prints.join(comp.withColumnRenamed("node", "fp"), "fp", "left") \
-        .withColumn("root", F.coalesce("component", "fp"))
-    small = marked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return marked.join(small, "root").select(
+    # Smallest ids first by fingerprint, then by component; the documents meet only the finished map,
+    # in a join with nothing but shuffles below it, so that a fingerprint of very many copies can be split.
+    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low")) \
+        .join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    low = work.write(low.select("fp", "low", "root"), "low")
+    first = low.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = work.write(low.join(first, "root").select("fp", "component_id"), "named")
+    work.drop(low)
+    return prints.join(named, "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -231,9 +236,9 @@ def deduplicated(docs: DataFrame, work: Handoff, *, shingle: int = 4, radius: in
     if not odd.take(1):
         return docs.join(drop, by_id, "left_anti")
     rest = docs.join(drop.unionByName(odd), by_id, "left_anti")
-    again = fingerprints(docs.join(odd, by_id, "left_semi"), shingle=shingle, keep=tuple(docs.columns))
+    again = fingerprints(docs.join(odd, by_id, "left_semi"), shingle=shingle, keep=tuple(docs.columns), out="__own")
     roots = marked.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__root")).distinct()
     first = Window.partitionBy("__root").orderBy(F.xxhash64(F.col("text")), F.col("text"))
-    again = (again.join(roots, F.col("fp") == F.col("__fp")).where(F.col("doc_id").eqNullSafe(F.col("__root")))
+    again = (again.join(roots, F.col("__own") == F.col("__fp")).where(F.col("doc_id").eqNullSafe(F.col("__root")))
              .withColumn("__n", F.row_number().over(first)).where("__n = 1"))
     return rest.unionByName(again.select(*docs.columns))
