@@ -199,7 +199,8 @@ def links(fps: DataFrame, work: Handoff, *, radius: int = 4, prefix_bits: int |
 
 def near_duplicates(docs: DataFrame, work: Handoff, *, shingle: int = 4, radius: int = 4,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+    """One row per document: doc_id, fp, fingerprint (16 hex digits), root (the component's smallest fp) and
+    component_id (smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows
     that repeat give repeated rows. A null doc_id gets a row, and is a component's id only if the
@@ -215,10 +216,10 @@ def near_duplicates(docs: DataFrame, work: Handoff, *, shingle: int = 4, radius:
         .join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     low = work.write(low.select("fp", "low", "root"), "low")
     first = low.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = work.write(low.join(first, "root").select("fp", "component_id"), "named")
+    named = work.write(low.join(first, "root").select("fp", "root", "component_id"), "named")
     work.drop(low)
     return prints.join(named, "fp").select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id")
 
 
 def deduplicated(docs: DataFrame, work: Handoff, *, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -237,8 +238,8 @@ def deduplicated(docs: DataFrame, work: Handoff, *, shingle: int = 4, radius: in
         return docs.join(drop, by_id, "left_anti")
     rest = docs.join(drop.unionByName(odd), by_id, "left_anti")
     again = fingerprints(docs.join(odd, by_id, "left_semi"), shingle=shingle, keep=tuple(docs.columns), out="__own")
-    roots = marked.select(F.col("fp").alias("__fp"), F.col("component_id").alias("__root")).distinct()
+    roots = marked.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__first")).distinct()
     first = Window.partitionBy("__root").orderBy(F.xxhash64(F.col("text")), F.col("text"))
-    again = (again.join(roots, F.col("__own") == F.col("__fp")).where(F.col("doc_id").eqNullSafe(F.col("__root")))
+    again = (again.join(roots, F.col("__own") == F.col("__fp")).where(F.col("doc_id").eqNullSafe(F.col("__first")))
              .withColumn("__n", F.row_number().over(first)).where("__n = 1"))
     return rest.unionByName(again.select(*docs.columns))
