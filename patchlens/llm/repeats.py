@@ -70,24 +70,34 @@ def signatures(docs: DataFrame, work: Handoff, find: Callable, whole: Callable)
         run, "doc_id long, key binary, n_units long, whole_sha256 string, anchors array<long>"), "signatures")
 
 
-def repeated_hashes(lists: DataFrame, work: Handoff, column: str = "anchors") -> DataFrame:
-    """(key, hashes): for every key the hashes in its list that occur twice or more over all lists."""
-    each = lists.select("key", F.explode(column).alias("h"))
-    twice = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return work.write(each.join(twice, "h").groupBy("key").agg(F.collect_set("h").alias("hashes")), "hashes")
+def repeated_hashes(lists: DataFrame, work: Handoff) -> DataFrame:
+    """(id, hashes): for every id the hashes in its list of anchors that occur twice or more over all lists.
+
+    The counts are a table of their own, so that the join has nothing but shuffles below it and
+    the adaptive skew join can split a hash that very many texts share.
+    """
+    each = lists.select("id", F.explode("anchors").alias("h"))
+    twice = work.write(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    hashes = work.write(each.join(twice, "h").groupBy("id").agg(F.collect_set("h").alias("hashes")), "hashes")
+    work.drop(twice)
+    return hashes
 
 
 def candidates(docs: DataFrame, marks: DataFrame, work: Handoff) -> tuple[DataFrame, DataFrame]:
     """(copies, texts) from signatures: copies has key and its number of rows;
-    texts has key, text, hashes (its repeated anchors) of each distinct text that has any."""
-    distinct = work.write(marks.groupBy("key").agg(
-        F.first("anchors").alias("anchors"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "distinct")
+    texts has id (a number), key, text, hashes (its repeated anchors) of each distinct text that has any."""
+    distinct = marks.groupBy("key").agg(F.first("anchors").alias("anchors"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # The number is fixed once the table is written; it packs better than the key.
+    distinct = work.write(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    copies = work.write(distinct.select("key", "copies"), "copies")
     hashes = repeated_hashes(distinct, work)
-    chosen = hashes.join(distinct.select("key", "rep"), "key").withColumnRenamed("key", "__key")
+    chosen = hashes.join(distinct.select("id", "key", "rep"), "id").withColumnRenamed("key", "__key")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
     texts = rows.join(chosen, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    # Rows that repeat with their id would come twice; their text repeats as a whole anyway.
-    return distinct.select("key", "copies"), work.write(texts.select("key", "text", "hashes"), "texts")
+    # Rows that repeat with their id come twice; their text repeats as a whole anyway.
+    texts = work.write(texts.select("id", "key", "text", "hashes"), "texts")
+    work.drop(distinct, hashes)
+    return copies, texts
 
 
 def in_any(values: np.ndarray, lists: pa.Array) -> np.ndarray:

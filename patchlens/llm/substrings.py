@@ -51,7 +51,7 @@ def _joined(buf: np.ndarray, off: np.ndarray) -> list[str]:
 
 
 def _next_level(texts: DataFrame, window: int, sizes: list[int], size: int) -> DataFrame:
-    """(key, anchors) at ``size`` words of the windows that survive the levels ``sizes``; columns h0, h1, ... hold their hashes."""
+    """(id, anchors) at ``size`` words of the windows that survive the levels ``sizes``; columns h0, h1, ... hold their hashes."""
     def run(batches):
         for batch in batches:
             for first, buf, off in string_parts(batch.column("text")):
@@ -59,13 +59,13 @@ def _next_level(texts: DataFrame, window: int, sizes: list[int], size: int) -> D
                 words, rows, _, _ = word_hashes(buf, off)
                 starts = _surviving(words, rows, window, sizes, [batch.column(f"h{i}").slice(first, n) for i in range(len(sizes))])
                 places, values = _anchors(words, starts, window, size)
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, n), row_lists(places, rows, values)], ["key", "anchors"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, n), row_lists(places, rows, values)], ["id", "anchors"])
 
-    return texts.mapInArrow(run, "key binary, anchors array<long>")
+    return texts.drop("key").mapInArrow(run, "id long, anchors array<long>")
 
 
 def _windows(texts: DataFrame, window: int, sizes: list[int]) -> DataFrame:
-    """(a, b, key, word): 128-bit hash of every surviving window and where it starts in its text."""
+    """(a, b, id, word): 128-bit hash of every surviving window and where it starts in its text."""
     def run(batches):
         for batch in batches:
             for first, buf, off in string_parts(batch.column("text")):
@@ -79,10 +79,10 @@ def _windows(texts: DataFrame, window: int, sizes: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(gram_hash(words, window)[starts].view(np.int64)),
                     pa.array(gram_hash(mix64(words ^ np.uint64(SECOND_BASE)), window, SECOND_BASE)[starts].view(np.int64)),
-                    batch.column("key").slice(first, n).take(pa.array(row)), pa.array((starts - rows[row]).astype(np.int32)),
-                ], ["a", "b", "key", "word"])
+                    batch.column("id").slice(first, n).take(pa.array(row)), pa.array((starts - rows[row]).astype(np.int32)),
+                ], ["a", "b", "id", "word"])
 
-    return texts.mapInArrow(run, "a long, b long, key binary, word int")
+    return texts.drop("key").mapInArrow(run, "a long, b long, id long, word int")
 
 
 def _cleaned(texts: DataFrame, window: int) -> DataFrame:
@@ -116,7 +116,7 @@ def repeated_words(docs: DataFrame, work: Handoff, window: int = 35) -> tuple[Da
 
     rows, one per row of docs: doc_id, key, n_words, whole_sha256 and copies (rows with an equal text). cleaned, one per
     distinct text that loses words to another text or to itself: key, n_removed, kept_sha256, kept (the words
-    left, joined by one blank) and spans (removed runs of words). A text of ``window`` words or more with copies loses
+    left, joined by one blank) and spans (removed runs of words); a row that repeats with its id may stand twice. A text of ``window`` words or more with copies loses
     all of them, whether or not it is in cleaned; ``summary`` puts both together.
 
     Null texts count as empty and have no words. Repeated rows are copies of each other. Null ids are ids
@@ -132,17 +132,20 @@ def repeated_words(docs: DataFrame, work: Handoff, window: int = 35) -> tuple[Da
 
     marks = signatures(docs, work, find, _joined)
     copies, texts = candidates(docs, marks, work)
-    texts = texts.withColumnRenamed("hashes", "h0")
+    stored, texts = texts, texts.withColumnRenamed("hashes", "h0")
     for i, size in enumerate(sizes[1:-1], 1):
-        lists = _next_level(texts, window, sizes[:i], size)
-        hashes = repeated_hashes(lists, work).withColumnRenamed("hashes", f"h{i}")
-        texts = work.write(texts.join(hashes, "key"), "texts")
-    used = sizes[:-1]
-    found = work.write(_windows(texts, window, used), "windows")
-    twice = found.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    starts = found.join(twice, ["a", "b"]).groupBy("key").agg(F.collect_set("word").alias("words"))
-    cleaned = work.write(_cleaned(texts.select("key", "text").dropDuplicates(["key"]).join(starts, "key"), window), "cleaned")
-    work.drop(found)
+        hashes = repeated_hashes(_next_level(texts, window, sizes[:i], size), work)
+        wider = work.write(texts.join(hashes.withColumnRenamed("hashes", f"h{i}"), "id"), "texts")
+        work.drop(stored, hashes)
+        stored = texts = wider
+    # The windows are made twice, once for their counts and once to be found among these: hashing them again
+    # takes less than keeping them. Nothing but shuffles is below the join, so a hot window can be split.
+    found = _windows(texts, window, sizes[:-1])
+    twice = work.write(found.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "twice")
+    starts = found.join(twice, ["a", "b"]).groupBy("id").agg(F.collect_set("word").alias("words"))
+    cleaned = work.write(_cleaned(
+        texts.select("id", "key", "text").join(starts, "id").select("key", "text", "words"), window), "cleaned")
+    work.drop(stored, twice)
     rows = marks.select("doc_id", "key", F.col("n_units").alias("n_words"), "whole_sha256").join(copies, "key")
     return rows, cleaned
 
@@ -151,7 +154,7 @@ def summary(docs: DataFrame, work: Handoff, window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank) of every row of docs."""
     rows, cleaned = repeated_words(docs, work, window)
     gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    out = rows.join(cleaned.select("key", "n_removed", "kept_sha256"), "key", "left")
+    out = rows.join(cleaned.select("key", "n_removed", "kept_sha256").dropDuplicates(["key"]), "key", "left")
     return out.select(
         "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(sha_hex(b""))).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"))

@@ -21,6 +21,8 @@ from patchlens.llm.suffixes import Space, SuffixOrder
 
 #: Text bytes of a step: the hashes of a step's bytes need about 60 times as much.
 STEP = 2 << 20
+#: Segment bytes that a shard gets on average. One shard sorts in about 100 times as much, in files beyond ``memory``.
+SHARD_BYTES = 1 << 20
 #: Anchors are this share of the window: longer ones are rarer in other texts, but overlap more.
 ANCHOR = 2
 
@@ -31,7 +33,7 @@ def _digests(buf: np.ndarray, off: np.ndarray) -> list[str]:
 
 
 def _segments(texts: DataFrame, window: int) -> DataFrame:
-    """(anchor, key, start, segment): runs of window starts with one repeated anchor, and the bytes of their windows."""
+    """(anchor, id, start, segment): runs of window starts with one repeated anchor, and the bytes of their windows."""
     size = window // ANCHOR
 
     def run(batches):
@@ -52,15 +54,15 @@ def _segments(texts: DataFrame, window: int) -> DataFrame:
                 end = np.append(at[:-1][new[1:]], at[-1]) + window
                 data = buf.tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(low[begin].view(np.int64)), batch.column("key").slice(first, n).take(pa.array(row[new])),
+                    pa.array(low[begin].view(np.int64)), batch.column("id").slice(first, n).take(pa.array(row[new])),
                     pa.array(begin - off[row[new]]), pa.array([data[a:b] for a, b in zip(begin, end)], pa.binary()),
-                ], ["anchor", "key", "start", "segment"])
+                ], ["anchor", "id", "start", "segment"])
 
-    return texts.mapInArrow(run, "anchor long, key binary, start long, segment binary")
+    return texts.drop("key").mapInArrow(run, "anchor long, id long, start long, segment binary")
 
 
-def _repeated_starts(segments: DataFrame, window: int, memory: int) -> DataFrame:
-    """(key, runs): pairs (first start, number of starts) of repeated windows, flattened, of each segment that has any.
+def _repeated_starts(segments: DataFrame, window: int, memory: int, shards: int) -> DataFrame:
+    """(id, runs): pairs (first start, number of starts) of repeated windows, flattened, of each segment that has any.
 
     A task's distinct segments go to a file as they come (equal ones stand together); only numbers are held.
     """
@@ -81,7 +83,7 @@ def _repeated_starts(segments: DataFrame, window: int, memory: int) -> DataFrame
                     total, last = total + len(segment) + 1, segment
                 copies[-1] += 1
                 numbers[i] = len(begin) - 1
-            keys.append(batch.column("key"))
+            keys.append(batch.column("id"))
             starts.append(batch.column("start").to_numpy())
             owner.append(numbers)
         if not begin:
@@ -112,11 +114,11 @@ def _repeated_starts(segments: DataFrame, window: int, memory: int) -> DataFrame
                     rows.append(i)
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [key.take(pa.array(rows)), pa.array(out, pa.list_(pa.int64()))], ["key", "runs"])
+                    [key.take(pa.array(rows)), pa.array(out, pa.list_(pa.int64()))], ["id", "runs"])
 
     # Equal segments stand together, so that they are read as one.
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", F.xxhash64("segment"), "segment")
-    return dealt.select("key", "start", "segment").mapInArrow(run, "key binary, runs array<long>")
+    dealt = segments.repartition(shards, "anchor").sortWithinPartitions("anchor", F.xxhash64("segment"), "segment")
+    return dealt.select("id", "start", "segment").mapInArrow(run, "id long, runs array<long>")
 
 
 def _mark(held, pos, joins, begin, length, copies, window, repeated, last=False):
@@ -163,12 +165,12 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
 
 
-def repeated_bytes(docs: DataFrame, work: Handoff, window: int = 400, memory: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_bytes(docs: DataFrame, work: Handoff, window: int = 400, memory: int = 192 << 20) -> tuple[DataFrame, DataFrame]:
     """(rows, cleaned) of ``docs`` (doc_id, text), texts as UTF-8 bytes.
 
     rows, one per row of docs: doc_id, key, n_bytes, whole_sha256, copies (rows with an equal text). cleaned, one per distinct
     text that loses bytes to another text or to itself: key, n_removed, n_spans, kept_sha256, kept
-    (the bytes left) and spans. A text of ``window`` bytes or more with copies loses all of
+    (the bytes left) and spans; a row that repeats with its id may stand twice. A text of ``window`` bytes or more with copies loses all of
     them, whether or not it is in cleaned; ``summary`` puts both together.
     ``memory``: bytes of tuples a shard holds before it sorts in files.
 
@@ -178,26 +180,28 @@ def repeated_bytes(docs: DataFrame, work: Handoff, window: int = 400, memory: in
     size = window // ANCHOR
 
     def find(buf, off):
-        places_, values_ = [], []
         grams = gram_hash(buf, size)
         places = anchor_places(grams, window_minima(grams, size, window), window_starts(off, len(buf), window))
         return off, places, grams[places]
 
     marks = signatures(docs, work, find, _digests)
     copies, texts = candidates(docs, marks, work)
-    segments = _segments(texts, window)
-    runs = work.write(_repeated_starts(segments, window, memory), "runs")
-    merged = runs.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    cleaned = work.write(_cut(texts.select("key", "text").dropDuplicates(["key"]).join(merged, "key"), window), "cleaned")
+    # An anchor's segment is a window and, on average, as many starts as a quarter window.
+    places = texts.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    shards = max(1, places * (window + window // 4) // SHARD_BYTES)
+    runs = work.write(_repeated_starts(_segments(texts, window), window, memory, shards), "runs")
+    merged = runs.groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    cleaned = work.write(_cut(texts.select("id", "key", "text").join(merged, "id").select("key", "text", "runs"), window), "cleaned")
+    work.drop(texts, runs)
     rows = marks.select("doc_id", "key", F.col("n_units").alias("n_bytes"), "whole_sha256").join(copies, "key")
     return rows, cleaned
 
 
-def summary(docs: DataFrame, work: Handoff, window: int = 400, memory: int = 128 << 20) -> DataFrame:
+def summary(docs: DataFrame, work: Handoff, window: int = 400, memory: int = 192 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the kept bytes) of every row of docs."""
     rows, cleaned = repeated_bytes(docs, work, window, memory)
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
-    out = rows.join(cleaned.select("key", "n_removed", "n_spans", "kept_sha256"), "key", "left")
+    out = rows.join(cleaned.select("key", "n_removed", "n_spans", "kept_sha256").dropDuplicates(["key"]), "key", "left")
     return out.select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),

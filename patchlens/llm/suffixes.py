@@ -29,11 +29,11 @@ STEP = 1 << 18  # positions worked on at once
 class Space:
     """Arrays in memory, or in nameless files of the task if they are large."""
 
-    def __init__(self, memory: int = 128 << 20):
+    def __init__(self, memory: int = 192 << 20):
         self.memory = memory
 
     def array(self, n: int, dtype) -> np.ndarray:
-        if n * np.dtype(dtype).itemsize <= self.memory // 8:
+        if n * np.dtype(dtype).itemsize <= self.memory // 4:
             return np.zeros(n, dtype)
         return np.memmap(tempfile.TemporaryFile(), dtype, "w+", shape=(n,))
 
@@ -43,7 +43,7 @@ class DiskQueue:
     the order of all columns but the last, which is the load."""
 
     def __init__(self, width: int, space: Space):
-        self.width, self.limit = width, max(1 << 10, space.memory // (8 * width * 4))
+        self.width, self.limit = width, max(1 << 10, space.memory // (16 * width))
         self.held: list[np.ndarray] = []
         self.count = 0
         self.runs: list = []
