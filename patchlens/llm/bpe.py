@@ -21,9 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from patchlens.llm.common import bounded_batches
 from patchlens.llm.tokens import ChunkEncoder, text_slices
 
 
+#: Pairs of neighbours whose verdict a worker keeps, and distinct pieces whose ids it keeps.
+PAIRS, PIECES = 1 << 17, 1 << 16
+
+
 class Vocabulary:
     """Ranks of byte strings; a rank is the id. Every single byte must have one."""
 
@@ -37,7 +42,7 @@ class Vocabulary:
             self.split[i] = pair = self._parts(self.bytes_of[i], i)
             if pair:
                 self.merged[pair] = i
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.finder = ahocorasick.Automaton()
         for b, i in ranks.items():
             self.finder.add_word(b.decode("latin-1"), (len(b), i))
@@ -66,7 +71,8 @@ class Vocabulary:
         Undo the merges of both sides latest first, as far as the seam sees them: a
         merge across the seam that ranks before the one just undone would have come first.
         """
-        known = self.beside.get((a, b))
+        pair = a << 32 | b
+        known = self.beside.get(pair)
         if known is not None:
             return known
         left, right, bound = a, b, 1 << 62
@@ -84,9 +90,9 @@ class Vocabulary:
                 bound, left = left, on_left[1]
             else:
                 bound, right = right + 1, on_right[0]
-        if len(self.beside) > 1 << 20:
+        if len(self.beside) >= PAIRS:
             self.beside.clear()
-        self.beside[a, b] = ok
+        self.beside[pair] = ok
         return ok
 
 
@@ -153,9 +159,9 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
             continue
         before = end + 1 - size
         if before:
-            pair = (last[before - 1], token)
-            ok = beside.get(pair)
-            if not (fits(*pair) if ok is None else ok):
+            left = last[before - 1]
+            ok = beside.get(left << 32 | token)
+            if not (fits(left, token) if ok is None else ok):
                 continue
         last.append(token)
         sizes.append(size)
@@ -174,6 +180,13 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary.from_file(path)
 
 
+@lru_cache(2)
+def _token_bytes(path: str) -> list[bytes]:
+    with open(path, "rb") as lines:
+        known = {int(b): base64.b64decode(a) for a, b in (x.split() for x in lines)}
+    return [known.get(i, b"") for i in range(max(known) + 1)]
+
+
 @lru_cache(2)
 def _chunks(path: str, pattern: str) -> ChunkEncoder:
     voc, split, pieces = _vocabulary(path), regex.compile(pattern), {}
@@ -187,7 +200,7 @@ def _chunks(path: str, pattern: str) -> ChunkEncoder:
         for piece in split.findall(chunk):
             got = pieces.get(piece)
             if got is None:
-                if len(pieces) > 1 << 18:
+                if len(pieces) >= PIECES:
                     pieces.clear()
                 got = pieces[piece] = pack(encode_piece(voc, piece.encode()))
             ids.append(got)
@@ -196,6 +209,26 @@ def _chunks(path: str, pattern: str) -> ChunkEncoder:
     return ChunkEncoder(lambda chunks: [one(c) for c in chunks])
 
 
+def _encoded(batches, path: str, pattern: str, keep: list[str], text: str, ids: str):
+    encoder = _chunks(path, pattern)
+    for batch in batches:
+        for i, part in text_slices(batch.column(text)):
+            flat, begin = encoder.batch(part)
+            raw = pa.py_buffer(flat.astype("<u4").tobytes())
+            off = pa.py_buffer((begin * 4).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).slice(i, len(part)) for c in keep]
+                + [pa.Array.from_buffers(pa.binary(), len(part), [None, off, raw])], [*keep, ids])
+
+
+def _decoded(batches, path: str, names: list[str], ids: str, out: str):
+    table = _token_bytes(path)
+    for batch in batches:
+        done = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) if x else b""
+                for x in batch.column(ids).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(done, pa.binary())], [*names, out])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids``: the ids of the whole text as little-endian unsigned 32-bit integers (binary).
 
@@ -206,33 +239,24 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
     keep = [c for c in docs.columns if c != text]
     if ids in keep:
         raise ValueError(f"a column {ids} is there already")
-    schema = docs.select(*keep).schema.add(ids, "binary", False)
-
-    def run(batches):
-        encoder = _chunks(path, pattern)
-        for batch in batches:
-            for i, part in text_slices(batch.column(text)):
-                flat, begin = encoder.batch(part)
-                raw = pa.py_buffer(flat.astype("<u4").tobytes())
-                off = pa.py_buffer((begin * 4).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(i, len(part)) for c in keep]
-                    + [pa.Array.from_buffers(pa.binary(), len(part), [None, off, raw])], [*keep, ids])
-
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    schema = StructType([*docs.select(*keep).schema.fields, StructField(ids, BinaryType(), False)])
+    return docs.select(*keep, text).mapInArrow(lambda b: _encoded(b, path, pattern, keep, text, ids), schema)
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``: the bytes that ``ids`` stand for. A null or empty ``ids`` gives no bytes."""
-    schema = StructType([*df.schema.fields, StructField(out, BinaryType(), False)])
     names = df.columns
+    schema = StructType([*df.schema.fields, StructField(out, BinaryType(), False)])
+    return df.mapInArrow(lambda b: _decoded(b, path, names, ids, out), schema)
 
-    def run(batches):
-        voc = _vocabulary(path)
-        table = [voc.bytes_of.get(i, b"") for i in range(max(voc.bytes_of) + 1)]
-        for batch in batches:
-            done = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) if x else b""
-                    for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(done, pa.binary())], [*names, out])
 
-    return df.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` in one Python step, so that a task needs one worker and the ids cross once."""
+    keep = [c for c in docs.columns if c != text]
+    if {ids, out} & set(keep):
+        raise ValueError(f"a column {ids} or {out} is there already")
+    bounded_batches(docs.sparkSession)
+    schema = StructType([*docs.select(*keep).schema.fields, StructField(ids, BinaryType(), False), StructField(out, BinaryType(), False)])
+    return docs.select(*keep, text).mapInArrow(
+        lambda b: _decoded(_encoded(b, path, pattern, keep, text, ids), path, [*keep, ids], ids, out), schema)

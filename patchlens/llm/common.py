@@ -18,20 +18,26 @@ from pyspark.sql import functions as F
 from patchlens.session import shared_dir
 
 #: Bytes of text that one vectorised step works on; numpy needs about 60 bytes for each.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about 16 MB for this session's Python steps, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 class Handoff:
     """Tables written once and read many times; ``drop`` deletes those no longer read."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
 
-    def write(self, df: DataFrame, name: str, *, sort: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from patchlens.llm.common import bounded_batches
 from patchlens.llm.tokens import ChunkEncoder, text_slices
 
 #: Ids of a block; its last window's padding is at most window / BLOCK_IDS of it.
@@ -96,14 +97,17 @@ def _encoder(path: str):
     tok.encode_special_tokens = True  # such strings in a text are ordinary text
 
     def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(chunks), 1 << 12):  # the library's results are large until their ids are taken out
+            out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks[i:i + (1 << 12)], add_special_tokens=False)]
+        return out
 
     n = tok.get_vocab_size()
     ends = np.zeros(n, bool)
     for word, i in tok.get_vocab().items():
         # Byte-level vocabularies spell a newline as U+010A.
         ends[i] = word[-1] in ".!?Ċ" if word else False
-    return ChunkEncoder(encode), ends
+    return ChunkEncoder(encode, 1 << 18), ends
 
 
 def pack(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0,
@@ -154,6 +158,7 @@ def pack(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0,
                     yield from flush()
         yield from flush()
 
+    bounded_batches(docs.sparkSession)
     schema = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     rows = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
     return rows.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from patchlens.llm.common import SPACE, gram_hash, range_hash, string_parts, word_hashes
+from patchlens.llm.common import SPACE, bounded_batches, gram_hash, range_hash, string_parts, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words")
 WINDOW = 5  # words
@@ -114,6 +114,7 @@ def measured(docs: DataFrame, *, text: str = "text", prefix: str = "") -> DataFr
     extra = [prefix + m for m in MEASURES]
     if set(extra) & set(names):
         raise ValueError(f"columns {sorted(set(extra) & set(names))} are there already")
+    bounded_batches(docs.sparkSession)
     schema = StructType([*docs.schema.fields, *[StructField(c, LongType(), False) for c in extra]])
 
     def run(batches):

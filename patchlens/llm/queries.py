@@ -22,8 +22,7 @@ def op9(spark, sf_dir):
     """All documents encoded by prefix dynamic programming, and decoded again."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return done.select(
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -15,10 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import Handoff, sliding, string_parts, text_key
-
-#: (buffer, row offsets) -> (one value per unit, number of units before each row)
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+from patchlens.llm.common import STEP_BYTES, Handoff, sliding, string_parts, text_key
 
 
 def window_starts(rows: np.ndarray, total: int, window: int) -> np.ndarray:
@@ -50,14 +47,14 @@ def row_lists(places: np.ndarray, rows: np.ndarray, values: np.ndarray) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values.astype(np.uint64).view(np.int64)))
 
 
-def signatures(docs: DataFrame, work: Handoff, find: Callable, whole: Callable) -> DataFrame:
+def signatures(docs: DataFrame, work: Handoff, find: Callable, whole: Callable, step: int = STEP_BYTES) -> DataFrame:
     """doc_id, key, n_units, whole_sha256, anchors (array of long) of every row.
 
     find(buf, off) -> (row bounds in units, anchor places, anchor hashes); whole(buf, off) -> hex digest of each row.
     """
     def run(batches):
         for batch in batches:
-            for first, buf, off in string_parts(batch.column("text")):
+            for first, buf, off in string_parts(batch.column("text"), step):
                 rows, places, values = find(buf, off)
                 n = len(off) - 1
                 yield pa.RecordBatch.from_arrays([

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import Handoff, string_parts
+from patchlens.llm.common import Handoff, bounded_batches, string_parts
 from patchlens.llm.graph import connected_components
 
 BITS = 64
@@ -61,6 +61,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, *, shingle: int = 4, text: str = "text", keep: tuple = ("doc_id",), out: str = "fp") -> DataFrame:
     """``keep`` columns and ``out``, the fingerprint's 64 bits as a signed long; null texts count as empty."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
 
     def run(batches):

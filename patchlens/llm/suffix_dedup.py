@@ -20,11 +20,11 @@ from patchlens.llm.repeats import anchor_places, candidates, in_any, row_lists,
 from patchlens.llm.suffixes import Space, SuffixOrder
 
 #: Text bytes of a step: the hashes of a step's bytes need about 60 times as much.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Segment bytes that a shard gets on average. One shard sorts in about 100 times as much, in files beyond ``memory``.
 SHARD_BYTES = 1 << 20
 #: Anchors are this share of the window: longer ones are rarer in other texts, but overlap more.
-ANCHOR = 2
+ANCHOR = 6
 
 
 def _digests(buf: np.ndarray, off: np.ndarray) -> list[str]:
@@ -34,7 +34,7 @@ def _digests(buf: np.ndarray, off: np.ndarray) -> list[str]:
 
 def _segments(texts: DataFrame, window: int) -> DataFrame:
     """(anchor, id, start, segment): runs of window starts with one repeated anchor, and the bytes of their windows."""
-    size = window // ANCHOR
+    size = max(1, window // ANCHOR)
 
     def run(batches):
         for batch in batches:
@@ -177,18 +177,18 @@ def repeated_bytes(docs: DataFrame, work: Handoff, window: int = 400, memory: in
     Null texts count as empty. Repeated rows are copies. Null ids are ids like any other. An empty
     table gives empty results. Other columns are not read.
     """
-    size = window // ANCHOR
+    size = max(1, window // ANCHOR)
 
     def find(buf, off):
         grams = gram_hash(buf, size)
         places = anchor_places(grams, window_minima(grams, size, window), window_starts(off, len(buf), window))
         return off, places, grams[places]
 
-    marks = signatures(docs, work, find, _digests)
+    marks = signatures(docs, work, find, _digests, STEP)
     copies, texts = candidates(docs, marks, work)
-    # An anchor's segment is a window and, on average, as many starts as a quarter window.
+    # An anchor's segment is a window and, on average, as many starts as half of the grams in a window.
     places = texts.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    shards = max(1, places * (window + window // 4) // SHARD_BYTES)
+    shards = max(1, places * (window + (window - window // ANCHOR) // 2) // SHARD_BYTES)
     runs = work.write(_repeated_starts(_segments(texts, window), window, memory, shards), "runs")
     merged = runs.groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     cleaned = work.write(_cut(texts.select("id", "key", "text").join(merged, "id").select("key", "text", "runs"), window), "cleaned")

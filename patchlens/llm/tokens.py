@@ -21,22 +21,25 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 class ChunkEncoder:
     """Ids of texts by ``encode``: list of str -> list of bytes (ids as little-endian uint32).
 
-    ``remember``: distinct chunks that a worker keeps; when full, it starts anew.
+    ``remember``: distinct chunks that a worker keeps. They are kept in two halves: a chunk that
+    is met again moves to the younger half, and when that is full the older one is forgotten.
     """
 
     def __init__(self, encode, remember: int = 1 << 19):
-        self.encode, self.remember, self.known = encode, remember, {}
+        self.encode, self.half, self.young, self.old = encode, remember // 2, {}, {}
 
     def _table(self, parts: list[str]):
         """Flat ids of the parts, and where each part's ids begin."""
-        known = self.known
-        new = [p for p in parts if p not in known]
-        if new:
-            if len(known) + len(new) > self.remember:
-                known = self.known = {}
-                new = parts
-            known.update(zip(new, self.encode(new)))
-        found = [known[p] for p in parts]
+        young, old = self.young, self.old
+        found = [young.get(p) or old.get(p) for p in parts]
+        at = [i for i, f in enumerate(found) if f is None]
+        for i, ids in zip(at, self.encode([parts[i] for i in at])):
+            found[i] = ids
+        if len(young) + len(parts) > self.half:
+            young, self.old = {}, young
+        if len(parts) <= self.half:
+            young.update(zip(parts, found))
+        self.young = young
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begin = np.concatenate([[0], np.cumsum(size)])
         return np.frombuffer(b"".join(found), "<u4"), begin
@@ -89,7 +92,7 @@ class ChunkEncoder:
         return pa.concat_arrays([lists, careful]).take(pa.array(order))
 
 
-def text_slices(texts, step: int = 8 << 20):
+def text_slices(texts, step: int = 2 << 20):
     """(first row, rows) of about ``step`` bytes of text each."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -225,6 +225,7 @@ def test_encode_like_the_library(spark, reference):
     docs = spark.createDataFrame([(i, t, "d") for i, t in enumerate(texts)], "doc_id long, text string, decoded2 string")
     rows = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()
     assert len(rows) == len(texts)
+    assert sorted(rows) == sorted(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect())
     for r in rows:
         text = texts[r["doc_id"]] or ""
         assert np.frombuffer(r["ids"], "<u4").tolist() == reference.encode_ordinary(text)
