@@ -12,40 +12,38 @@ from patchlens.catalog.prep import WHOLE, enrich_select
 from patchlens.functions import text as T
 from patchlens.functions.enrich import enrich_all
 from patchlens.operators import explain as X
+from patchlens.operators import ml as ML
 from patchlens.operators import sampling as W
-from patchlens.session import materialize
 from patchlens.sources.fixtures import functions_raw
 
-# Structural + complexity feature set (the explained model's inputs).
-FEATURES = ["func_before_length", "cyclomatic_complexity", "num_parameters", "num_function_calls",
-            "nesting_depth", "token_diversity", "comment_ratio"]
+# The explained model's inputs: the structural + complexity set.
+FEATURES = ML.EXPERIMENT_FEATURES["Exp-C: Structural + complexity (honest enriched)"]
 # Demonstration coefficients of the explained linear model (fixed, not fitted).
 COEFS = [0.8, -0.1, 0.2, 0.9, 0.05, -0.5, 0.15]
 INTERCEPT = -0.25
 
 
-def _long(spark, sf):
+def _wide(spark, sf):
     raw = functions_raw(spark, sf)
     df = raw.select("row_id", "project", F.col("vul").alias("label"), "func_before",
                     T.clean_patch(F.coalesce(F.col("patch"), F.lit(""))).alias("diff"))
     en = enrich_all(df, keep_raw_counts=False)
-    en = W.project_wise_split(en).select("row_id", "label", "split",
-                                         *[F.col(f).cast("double").alias(f) for f in FEATURES])
-    return X.to_long(en, FEATURES, ("row_id", "label", "split"))
+    return W.project_wise_split(en).select("row_id", "label", "split",
+                                           *[F.col(f).cast("double").alias(f) for f in FEATURES])
 
 
 def _scaled(spark, sf):
-    # read three times below (scaler stats, background, explained rows): cut once
-    long = materialize(_long(spark, sf))
-    stats = X.scaler_stats(long.filter(F.col("split") == "train"))
-    return X.standard_scale(long, stats)
+    """(test rows with their scaled features, the scaler, the train rows)."""
+    wide = _wide(spark, sf)
+    train = wide.where("split = 'train'")
+    stats = X.scaler_stats(train, FEATURES)
+    return X.standard_scale(wide.where("split = 'test'"), FEATURES, stats), stats, train
 
 
 def _shap(spark, sf):
-    scaled = _scaled(spark, sf)
-    coefs = spark.createDataFrame(list(zip(FEATURES, COEFS)), "feature string, coef double")
-    bg = scaled.filter(F.col("split") == "train").groupBy("feature").agg(F.avg("scaled").alias("bg_mean"))
-    return X.linear_shap(scaled.filter(F.col("split") == "test"), coefs, bg, INTERCEPT)
+    scaled, stats, train = _scaled(spark, sf)
+    return X.linear_shap(scaled, FEATURES, dict(zip(FEATURES, COEFS)),
+                         X.background_means(train, FEATURES, stats), INTERCEPT)
 
 
 _coef_rows = ", ".join(f"('{f}', {c})" for f, c in zip(FEATURES, COEFS))
@@ -81,14 +79,14 @@ shap_long AS (SELECT j.row_id, j.feature, j.scaled, j.phi, j.label, 1.0 / (1.0 +
           doubles=("value", "scaled"))
 def standard_scale(spark, sf):
     """M2: (x - train mean) / train population std on test rows; constant -> 0."""
-    return _scaled(spark, sf).filter(F.col("split") == "test").select("row_id", "feature", "value", "scaled")
+    return X.unpivoted(_scaled(spark, sf)[0], ["row_id"], "scaled")
 
 
 @register("linear_shap", BASE + "SELECT row_id, feature, scaled, phi, label, score, base_value FROM shap_long",
           doubles=("scaled", "phi", "score", "base_value"))
 def linear_shap(spark, sf):
     """Exact linear Shapley values, background = train mean."""
-    return _shap(spark, sf).select("row_id", "feature", "scaled", "phi", "label", "score", "base_value")
+    return X.unpivoted(_shap(spark, sf).drop("scaled"), ["row_id", "label", "score", "base_value"], "phi")
 
 
 @register("global_importance", BASE + """SELECT feature, avg(abs(phi)) AS mean_abs_phi,
@@ -96,7 +94,7 @@ def linear_shap(spark, sf):
           doubles=("mean_abs_phi",), ints=("rank",))
 def global_importance(spark, sf):
     """Mean |phi| per feature, ranked."""
-    return X.global_importance(_shap(spark, sf))
+    return X.global_importance(_shap(spark, sf), FEATURES)
 
 
 @register("shap_by_class", BASE + """SELECT feature, vuln_phi, safe_phi, vuln_phi - safe_phi AS gap,
@@ -106,7 +104,7 @@ def global_importance(spark, sf):
   FROM shap_long GROUP BY feature) x WHERE h1 = 1 AND h0 = 1""", doubles=("vuln_phi", "safe_phi", "gap"))
 def shap_by_class(spark, sf):
     """Mean phi per feature for each class, gap and sign."""
-    return X.shap_by_class(_shap(spark, sf))
+    return X.shap_by_class(_shap(spark, sf), FEATURES)
 
 
 @register("first_per_outcome", BASE + """, rows AS (SELECT DISTINCT row_id, label, score FROM shap_long),
@@ -116,8 +114,7 @@ SELECT outcome, min(row_id) AS row_id, arg_min(score, row_id) AS score FROM o GR
     '\n, rows AS', ',\nrows AS'), doubles=("score",))
 def first_per_outcome(spark, sf):
     """First explained row of each outcome (TP, FP, TN, FN) at 0.5."""
-    rows = _shap(spark, sf).select("row_id", "label", "score").distinct()
-    return X.first_per_outcome(rows)
+    return X.first_per_outcome(_shap(spark, sf))
 
 
 @register("top_contributors", BASE + """SELECT row_id, pos, feature, scaled, phi,

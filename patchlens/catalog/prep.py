@@ -21,11 +21,18 @@ ROW_FILTER_SQL = ("lang IN ('C', 'C++') AND patch IS NOT NULL AND func_before IS
                   "AND length(patch) >= 30 AND length(patch) <= 5000")
 
 COLLECTED = f"""
+collected AS (SELECT * FROM functions_raw WHERE {ROW_FILTER_SQL} AND vul IN (0, 1))"""
+
+# Quotas of the registered quota queries: below the sizes of both classes on
+# every given scale factor from 0.01 on, so that they act.
+QUOTAS = {1: 2000, 0: 4000}
+
+LIMITED = f"""
 collected AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY vul ORDER BY row_id) AS rn
     FROM functions_raw WHERE {ROW_FILTER_SQL} AND vul IN (0, 1)) t
-  WHERE (vul = 1 AND rn <= {PP.MAX_VULN}) OR (vul = 0 AND rn <= {PP.MAX_SAFE}))"""
+  WHERE (vul = 1 AND rn <= {QUOTAS[1]}) OR (vul = 0 AND rn <= {QUOTAS[0]}))"""
 
 RENAME_SELECT = """row_id, commit_id AS commit_hash, project, lang, add_lines AS lines_added,
        del_lines AS lines_removed, patch AS diff, func_before, func_after, "CWE ID" AS cwe_id,
@@ -71,6 +78,7 @@ enriched AS ({enrich_select("ready", keep="* EXCLUDE (diff_length, func_before_l
                                           "lines_added AS raw_lines_added, lines_removed AS raw_lines_removed")})"""
 
 PREP_CTES = O.with_(O.FUNCTIONS_RAW, COLLECTED, READY, ENRICHED)
+LIMITED_CTES = O.with_(O.FUNCTIONS_RAW, LIMITED, READY)
 
 
 def class_means_sql(src: str, features: list[str]) -> str:
@@ -111,7 +119,7 @@ ENRICHED_OUT = ["row_id", "label", "diff_length", "func_before_length", "cycloma
 @register("enrich_ready", PREP_CTES + f"SELECT {', '.join(ENRICHED_OUT)} FROM enriched",
           doubles=("token_diversity", "comment_ratio"))
 def enrich_ready(spark, sf):
-    """T15 on the preprocessed (quota + dedup) table: the enrichment stage."""
+    """T15 on the preprocessed table: the enrichment stage."""
     return _enriched(spark, sf).select(*ENRICHED_OUT)
 
 
@@ -165,14 +173,10 @@ def filter_not_null(spark, sf):
 
 @register("filter_length_range", O.with_(O.FUNCTIONS_RAW) +
           "SELECT row_id, CAST(length(patch) AS BIGINT) AS patch_len FROM functions_raw "
-          "WHERE length(patch) BETWEEN 30 AND 300")
+          "WHERE length(patch) BETWEEN 30 AND 5000")
 def filter_length_range(spark, sf):
-    """P8 (functions): raw patch length within [30, 300] inclusive.
-
-    The upper bound is below the reference's 5,000 so that it bites on the
-    derived patches (40 to 408 chars); ``function_length_ok`` takes both.
-    """
-    df = P.filter_length_range(functions_raw(spark, sf), "patch", 30, 300)
+    """P8 (functions): raw patch length within [30, 5000] inclusive."""
+    df = P.filter_length_range(functions_raw(spark, sf), "patch", 30, 5000)
     return df.select("row_id", F.length("patch").cast("long").alias("patch_len"))
 
 
@@ -220,10 +224,10 @@ def ablation_toggle(spark, sf):
         "row_id", "has_security_terms", "has_security_terms_off")
 
 
-@register("quota_per_class", O.with_(O.FUNCTIONS_RAW, COLLECTED) + "SELECT row_id, vul FROM collected")
+@register("quota_per_class", O.with_(O.FUNCTIONS_RAW, LIMITED) + "SELECT row_id, vul FROM collected")
 def quota_per_class(spark, sf):
-    """First 3,000 vulnerable and 6,000 safe filtered rows in file order."""
-    return PP.collected_rows(functions_raw(spark, sf)).select("row_id", "vul")
+    """The first rows of each class in file order, up to the class's quota."""
+    return PP.collected_rows(functions_raw(spark, sf), QUOTAS).select("row_id", "vul")
 
 
 @register("dedup_keep_first", O.with_(O.FUNCTIONS_RAW) +
@@ -240,13 +244,13 @@ def shuffle_rows(spark, sf):
     return W.shuffle_rows(PP.ready(functions_raw(spark, sf))).select("row_id", "shuffle_key")
 
 
-FUNNEL_SQL = PREP_CTES.rstrip() + f""",
+FUNNEL_SQL = LIMITED_CTES.rstrip() + f""",
 flt AS (SELECT row_id, vul, row_number() OVER (PARTITION BY vul ORDER BY row_id) AS rn
         FROM functions_raw WHERE {ROW_FILTER_SQL} AND vul IN (0, 1)),
-per AS (SELECT max(CASE WHEN vul = 1 AND rn <= {PP.MAX_VULN} THEN rn END) AS c1,
-               max(CASE WHEN vul = 0 AND rn <= {PP.MAX_SAFE} THEN rn END) AS c0,
-               max(CASE WHEN vul = 1 AND rn = {PP.MAX_VULN} THEN row_id END) AS l1,
-               max(CASE WHEN vul = 0 AND rn = {PP.MAX_SAFE} THEN row_id END) AS l0 FROM flt),
+per AS (SELECT max(CASE WHEN vul = 1 AND rn <= {QUOTAS[1]} THEN rn END) AS c1,
+               max(CASE WHEN vul = 0 AND rn <= {QUOTAS[0]} THEN rn END) AS c0,
+               max(CASE WHEN vul = 1 AND rn = {QUOTAS[1]} THEN row_id END) AS l1,
+               max(CASE WHEN vul = 0 AND rn = {QUOTAS[0]} THEN row_id END) AS l0 FROM flt),
 stop AS (SELECT CASE WHEN l1 IS NOT NULL AND l0 IS NOT NULL THEN greatest(l1, l0) END AS stop_row_id FROM per),
 seen AS (SELECT CASE WHEN s.stop_row_id IS NULL THEN (SELECT count(*) FROM functions_raw)
                      ELSE least((SELECT count(*) FROM functions_raw),
@@ -262,14 +266,11 @@ UNION ALL SELECT 4, 'after_dedup', (SELECT count(*) FROM ready)
 @register("funnel_counts", FUNNEL_SQL, ints=("ord", "n"))
 def funnel_counts(spark, sf):
     """Rows seen, collected per class, after dedup."""
-    return PP.funnel_counts(functions_raw(spark, sf))
+    return PP.funnel_counts(functions_raw(spark, sf), QUOTAS)
 
 
-@register("union_parts", PREP_CTES + "SELECT row_id, label FROM (SELECT * FROM collected) c "
-          "JOIN (SELECT row_id AS r, vul AS label FROM collected) x ON c.row_id = x.r")
+@register("union_parts", O.with_(O.FUNCTIONS_RAW, LIMITED) + "SELECT row_id, vul AS label FROM collected")
 def union_parts(spark, sf):
     """Vulnerable part then safe part as one frame (unionByName)."""
-    rows = P.clean_function_rows(functions_raw(spark, sf))
-    vuln = W.quota_per_class(rows, {1: PP.MAX_VULN}, label="vul")
-    safe = W.quota_per_class(rows, {0: PP.MAX_SAFE}, label="vul")
-    return vuln.unionByName(safe).select("row_id", F.col("vul").alias("label"))
+    rows = PP.collected_rows(functions_raw(spark, sf), QUOTAS).select("row_id", F.col("vul").alias("label"))
+    return rows.where("label = 1").unionByName(rows.where("label = 0"))

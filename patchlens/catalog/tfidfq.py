@@ -1,5 +1,5 @@
-"""TF-IDF and token-encoding queries (M9-M11, M15) on text rows
-(documents x labels), split by source project."""
+"""TF-IDF and token-encoding queries (M9-M11, M15) on all documents, split
+by source project."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from patchlens import oracle as O
 from patchlens.catalog import register
 from patchlens.operators import sampling as W
 from patchlens.operators import tfidf as TF
-from patchlens.sources.fixtures import text_rows
+from patchlens.sources.fixtures import corpus_rows
 
-SPLIT = O.with_(O.TEXT_ROWS).rstrip() + f""",
+CORPUS = """
+text_rows AS (SELECT doc_id AS row_id, text, source AS project FROM documents)"""
+
+SPLIT = O.with_(CORPUS).rstrip() + f""",
 projects AS (SELECT DISTINCT project FROM text_rows),
 ranked AS (SELECT project, row_number() OVER (ORDER BY {O.md5_key('project')}) AS r,
                   count(*) OVER () AS n FROM projects),
@@ -62,7 +65,7 @@ def tfidf_sql(params: TF.TfidfParams, apply_to: str = "train") -> str:
 
 
 def _split(spark, sf):
-    return W.project_wise_split(text_rows(spark, sf))
+    return W.project_wise_split(corpus_rows(spark, sf))
 
 
 def _fit(spark, sf, params):
@@ -96,9 +99,8 @@ def tfidf_transform(spark, sf):
 ENCODE_SQL = SPLIT + f""",
 toks AS (SELECT row_id, regexp_extract_all(lower(coalesce(text, '')), {IDENT}) AS t FROM text_rows),
 tr_toks AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), {IDENT})) AS token FROM train_docs),
-vocab AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token ASC) - 1 + {TF.FIRST_TOKEN_ID} AS token_id
-          FROM (SELECT token, count(*) AS cnt FROM tr_toks GROUP BY token
-                ORDER BY cnt DESC, token ASC LIMIT {TF.MAX_VOCAB}) v),
+vocab AS (SELECT token, row_number() OVER (ORDER BY {O.md5_key('token')}, token) - 1 + {TF.FIRST_TOKEN_ID} AS token_id
+          FROM (SELECT DISTINCT token FROM tr_toks) v),
 head AS (SELECT row_id, unnest(list_slice(t, 1, {TF.MAX_LENGTH - 2})) AS token,
                 generate_subscripts(list_slice(t, 1, {TF.MAX_LENGTH - 2}), 1) AS pos FROM toks),
 ids AS (SELECT h.row_id, string_agg(CAST(coalesce(v.token_id, {TF.UNK_ID}) AS VARCHAR), ',' ORDER BY h.pos) AS body
@@ -117,7 +119,7 @@ def encode_fixed_length(spark, sf):
     """Ids from the training token vocabulary, truncated / padded to 256, with mask."""
     s = _split(spark, sf)
     vocab = TF.fit_token_vocabulary(s.filter(F.col("split") == "train"))
-    enc = TF.encode_fixed_length(text_rows(spark, sf), vocab)
+    enc = TF.encode_fixed_length(corpus_rows(spark, sf), vocab)
     return enc.select("row_id", F.col("n_tokens").cast("long").alias("n_tokens"),
                       F.array_join("input_ids", ",").alias("ids_csv"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_sum"))

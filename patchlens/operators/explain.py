@@ -1,69 +1,86 @@
 """Explanations.
 
-Features are handled in long form, (row_id, feature, value): per-feature
-statistics are one group-by over at most ``len(features)`` keys and are
-joined back on ``feature`` (a table bounded by the feature count), so no
-scalar is broadcast by hand and nothing is collected to the driver.
+A row stays one row: its features are an array of (feature, value, ...) structs
+built from the wide columns, and the scaler's statistics are scalars of one
+aggregate. Scaling, Shapley values, margin and score are expressions on that row, and
+a ranking of its features is a sort of the array: no join and no shuffle.
+The long form, one row per feature, is an ``inline`` at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def to_long(df: DataFrame, features: list[str], id_cols=("row_id",), value: str = "value") -> DataFrame:
-    return df.unpivot(list(id_cols), features, "feature", value)
+def scaler_stats(train: DataFrame, features: list[str]) -> dict[str, tuple[Column, Column]]:
+    """feature -> (mean, population std) of ``train``, as scalars of a one-row aggregate."""
+    one = train.agg(F.struct(*[x for f in features for x in (
+        F.avg(f).alias("m_" + f), F.stddev_pop(f).alias("s_" + f))]).alias("s")).scalar()
+    return {f: (one["m_" + f], one["s_" + f]) for f in features}
 
 
 # M2
-def scaler_stats(train_long: DataFrame, value: str = "value") -> DataFrame:
-    """(feature, mean, std) with the population std."""
-    return train_long.groupBy("feature").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+def standard_scale(df: DataFrame, features: list[str], stats: dict, out: str = "scaled") -> DataFrame:
+    """``df`` with ``out``: an array of (feature, value, scaled); a constant feature (std 0) scales to 0."""
+    def one(f):
+        mean, std = stats[f]
+        return F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                        F.when(std == 0, F.lit(0.0)).otherwise((F.col(f) - mean) / std).alias("scaled"))
+    return df.withColumn(out, F.array(*[one(f) for f in features]))
 
 
-def standard_scale(long: DataFrame, stats: DataFrame, value: str = "value", out: str = "scaled") -> DataFrame:
-    """(x - mean) / std; a constant feature (std 0) scales to 0."""
-    j = long.join(stats, "feature")
-    z = F.when(F.col("std") == 0, F.lit(0.0)).otherwise((F.col(value) - F.col("mean")) / F.col("std"))
-    return j.withColumn(out, z).drop("mean", "std")
+def background_means(background: DataFrame, features: list[str], stats: dict) -> dict[str, Column]:
+    """feature -> mean of the scaled background: the scaling is linear, so it is the scaled mean."""
+    means = scaler_stats(background, features)
+    return {f: F.when(stats[f][1] == 0, F.lit(0.0)).otherwise((means[f][0] - stats[f][0]) / stats[f][1]) for f in features}
 
 
 # M13
-def linear_shap(scaled: DataFrame, coefs: DataFrame, background: DataFrame, intercept: float,
-                label: str = "label") -> DataFrame:
-    """phi = coef * (scaled - background mean); score = sigmoid(margin).
+def linear_shap(scaled: DataFrame, features: list[str], coefs: dict, background: dict, intercept: float,
+                column: str = "scaled") -> DataFrame:
+    """``scaled`` rows with phi (array of (feature, scaled, phi)), margin, base_value and score.
 
-    ``coefs``: (feature, coef); ``background``: (feature, bg_mean).
-    Returns (row_id, feature, scaled, phi, label, score, margin, base_value).
+    phi = coef * (scaled - background mean); score = sigmoid(margin).
     """
-    j = scaled.join(coefs, "feature").join(background, "feature")
-    j = j.withColumn("phi", F.col("coef") * (F.col("scaled") - F.col("bg_mean")))
-    # per row: model margin and the base value (expected margin on the background)
-    per_row = j.groupBy("row_id").agg(
-        (F.sum(F.col("coef") * F.col("scaled")) + F.lit(intercept)).alias("margin"),
-        (F.sum(F.col("coef") * F.col("bg_mean")) + F.lit(intercept)).alias("base_value"))
-    out = j.join(per_row, "row_id").withColumn("score", 1.0 / (1.0 + F.exp(-F.col("margin"))))
-    return out.select("row_id", "feature", "scaled", "phi", label, "score", "margin", "base_value")
+    at = {f: F.col(column)[i]["scaled"] for i, f in enumerate(features)}
+    phi = F.array(*[F.struct(F.lit(f).alias("feature"), at[f].alias("scaled"),
+                             (F.lit(float(coefs[f])) * (at[f] - background[f])).alias("phi")) for f in features])
+    start = F.lit(float(intercept))
+    margin = reduce(lambda x, f: x + F.lit(float(coefs[f])) * at[f], features, start)
+    base = reduce(lambda x, f: x + F.lit(float(coefs[f])) * background[f], features, start)
+    out = scaled.withColumns({"phi": phi, "margin": margin, "base_value": base})
+    return out.withColumn("score", 1.0 / (1.0 + F.exp(-F.col("margin"))))
+
+
+def unpivoted(df: DataFrame, keep: list[str], column: str) -> DataFrame:
+    """One row per entry of an array of structs."""
+    return df.select(*keep, F.inline(column))
 
 
 # A21
-def global_importance(shap_long: DataFrame) -> DataFrame:
-    g = shap_long.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_abs_phi").desc(), "feature")))
+def global_importance(shap: DataFrame, features: list[str]) -> DataFrame:
+    """Mean |phi| per feature, ranked: one aggregate row, its entries sorted."""
+    wide = shap.agg(*[F.avg(F.abs(F.col("phi")[i]["phi"])).alias(f) for i, f in enumerate(features)])
+    entries = F.array(*[F.struct((-F.col(f)).alias("low"), F.lit(f).alias("feature"), F.col(f).alias("mean_abs_phi")) for f in features])
+    return wide.select(F.posexplode(F.array_sort(entries)).alias("i", "e")).select(
+        "e.feature", "e.mean_abs_phi", (F.col("i") + 1).alias("rank"))
 
 
 # A22
-def shap_by_class(shap_long: DataFrame, label: str = "label") -> DataFrame:
-    g = shap_long.groupBy("feature").agg(
-        F.avg(F.when(F.col(label) == 1, F.col("phi"))).alias("vuln_phi"),
-        F.avg(F.when(F.col(label) == 0, F.col("phi"))).alias("safe_phi"),
-        F.max((F.col(label) == 1).cast("int")).alias("_has1"),
-        F.max((F.col(label) == 0).cast("int")).alias("_has0"))
-    d = F.col("vuln_phi") - F.col("safe_phi")
-    return (g.filter((F.col("_has1") == 1) & (F.col("_has0") == 1))
-            .select("feature", "vuln_phi", "safe_phi", d.alias("gap"),
-                    F.when(d > 0, "up vuln").otherwise("down safe").alias("direction")))
+def shap_by_class(shap: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """Mean phi per feature and class, gap and direction; nothing unless both classes are there."""
+    def mean(i, c):
+        return F.avg(F.when(F.col(label) == c, F.col("phi")[i]["phi"]))
+    wide = shap.agg(F.max((F.col(label) == 1).cast("int")).alias("_has1"), F.max((F.col(label) == 0).cast("int")).alias("_has0"),
+                    *[mean(i, c).alias(f"{n}_{f}") for i, f in enumerate(features) for c, n in ((1, "v"), (0, "s"))])
+    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("v_" + f).alias("vuln_phi"), F.col("s_" + f).alias("safe_phi"))
+                        for f in features])
+    gap = F.col("vuln_phi") - F.col("safe_phi")
+    return wide.where("_has1 = 1 and _has0 = 1").select(F.inline(entries)).select(
+        "feature", "vuln_phi", "safe_phi", gap.alias("gap"), F.when(gap > 0, "up vuln").otherwise("down safe").alias("direction"))
 
 
 # W9
@@ -74,26 +91,34 @@ def outcome(score: str = "score", label: str = "label", threshold: float = 0.5):
 
 
 def first_per_outcome(rows: DataFrame, order: str = "row_id") -> DataFrame:
-    """First row (by ``order``) of each outcome present; a min per group."""
-    firsts = rows.withColumn("outcome", outcome()).groupBy("outcome").agg(F.min(order).alias(order))
-    return firsts.join(rows, order).select("outcome", order, "score")
+    """First row (by ``order``) of each outcome present, with its score; a min per group."""
+    first = rows.groupBy(outcome().alias("outcome")).agg(F.min(F.struct(order, "score")).alias("f"))
+    return first.select("outcome", f"f.{order}", "f.score")
+
+
+def _by_size(shap: DataFrame) -> Column:
+    """The row's entries by falling |phi|, ties by feature."""
+    keyed = F.transform("phi", lambda e: F.struct((-F.abs(e["phi"])).alias("low"), e["feature"].alias("feature"), e.alias("e")))
+    return F.transform(F.array_sort(keyed), lambda k: k["e"])
 
 
 # W10
-def top_contributors(shap_long: DataFrame, k: int = 5) -> DataFrame:
-    w = Window.partitionBy("row_id").orderBy(F.abs("phi").desc(), "feature")
-    return (shap_long.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
-            .select("row_id", "pos", "feature", "scaled", "phi",
-                    F.when(F.col("phi") > 0, "VULN").otherwise("SAFE").alias("direction")))
+def top_contributors(shap: DataFrame, k: int = 5) -> DataFrame:
+    top = shap.select("row_id", F.posexplode(F.slice(_by_size(shap), 1, k)).alias("i", "e"))
+    return top.select("row_id", (F.col("i") + 1).alias("pos"), "e.feature", "e.scaled", "e.phi",
+                      F.when(F.col("e.phi") > 0, "VULN").otherwise("SAFE").alias("direction"))
 
 
 # W13
-def shap_waterfall(shap_long: DataFrame) -> DataFrame:
+def shap_waterfall(shap: DataFrame) -> DataFrame:
     """Base value, then the running sum of contributions by |phi| descending."""
-    w = Window.partitionBy("row_id").orderBy(F.abs("phi").desc(), "feature")
-    running = F.sum("phi").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return shap_long.select("row_id", F.row_number().over(w).alias("step"), "feature", "phi",
-                            (F.col("base_value") + running).alias("value"))
+    steps = shap.select("row_id", "base_value", _by_size(shap).alias("es")).select(
+        "row_id", "base_value", "es", F.posexplode("es").alias("i", "e"))
+    running = F.aggregate(F.slice("es", F.lit(1), F.col("i") + 1), F.col("base_value"), lambda x, e: x + e["phi"])
+    return steps.select("row_id", (F.col("i") + 1).alias("step"), "e.feature", "e.phi", running.alias("value"))
+
+
+MAX_BACKGROUND = 10_000
 
 
 # M14
@@ -107,14 +132,16 @@ def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, pr
     the permutation come from the row, the rest from the background row;
     phi_j averages the gain of switching feature j to the row's value.
     No all-pairs product: each sample is an equi-join to one background row.
-    ``rows`` and ``background`` should be capped samples; ``predict(df)``
-    returns df with a ``prob`` column.  Returns (row_id, feature, phi).
+    Work is linear in ``rows``. ``background`` is a sample of at most ``MAX_BACKGROUND`` rows, which is
+    checked; ``predict(df)`` returns df with a ``prob`` column.  Returns (row_id, feature, phi).
     """
     spark = rows.sparkSession
     bg = background.select(*[F.col(f).alias("bg_" + f) for f in features])
     bg = bg.withColumn("_bk", F.md5(F.concat_ws(":", *[F.col("bg_" + f).cast("string") for f in features])))
     bg = bg.withColumn("bg_idx", F.row_number().over(Window.orderBy("_bk")) - 1).drop("_bk")   # capped rows
     n_bg = bg.count()
+    if not 0 < n_bg <= MAX_BACKGROUND:
+        raise ValueError(f"the background needs 1 to {MAX_BACKGROUND} rows, not {n_bg}")
     perms = spark.range(n_perm).withColumnRenamed("id", "perm")
     keyed = F.transform(F.array(*[F.lit(f) for f in features]),
                         lambda f: F.struct(F.md5(F.concat(f, F.lit(":"), F.col("perm").cast("string"),
@@ -124,15 +151,13 @@ def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, pr
                .withColumn("bg_idx", F.pmod(F.xxhash64(F.col(id_col), F.col("perm"), F.lit(seed)), F.lit(n_bg)))
                .join(F.broadcast(plan), "perm")          # n_perm rows
                .join(F.broadcast(bg), "bg_idx"))         # capped background
-    steps = samples.select("*", F.posexplode(F.col("order")).alias("j", "feat"))
-    out = []
-    for with_j in (0, 1):
-        cols = []
-        for f in features:
-            pos_f = F.array_position(F.col("order"), F.lit(f)) - 1
-            cols.append(F.when(pos_f < (F.col("j") + with_j), F.col(f)).otherwise(F.col("bg_" + f)).alias(f))
-        out.append(steps.select(id_col, "perm", "feat", *cols))
-    lo = predict(out[0]).select(id_col, "perm", "feat", F.col("prob").alias("p0"))
-    hi = predict(out[1]).select(id_col, "perm", "feat", F.col("prob").alias("p1"))
-    gain = lo.join(hi, [id_col, "perm", "feat"])
-    return gain.groupBy(id_col, F.col("feat").alias("feature")).agg(F.avg(F.col("p1") - F.col("p0")).alias("phi"))
+    # State k takes the first k features of the order from the row: one prediction per state, and a
+    # feature's gain is the difference of two neighbouring states, so gains add up exactly.
+    states = samples.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
+    mixed = states.select(id_col, "perm", "k", "order", *[
+        F.when(F.array_position("order", F.lit(f)) <= F.col("k"), F.col(f)).otherwise(F.col("bg_" + f)).alias(f) for f in features])
+    probs = predict(mixed).groupBy(id_col, "perm").agg(
+        F.first("order").alias("order"), F.array_sort(F.collect_list(F.struct("k", "prob"))).alias("p"))
+    gains = probs.select(id_col, F.posexplode("order").alias("j", "feature"), "p")
+    gain = F.get("p", F.col("j") + 1)["prob"] - F.get("p", F.col("j"))["prob"]
+    return gains.groupBy(id_col, "feature").agg(F.avg(gain).alias("phi"))

@@ -14,8 +14,10 @@ the distinct scores in descending order, computed without a global window:
 4. prefix-sum inside each range, partitioned by range, and add the range
    offset.
 
-Every partition holds about 1/n_buckets of the distinct scores, so the job
-scales with the data; the results are exact whatever the cut points are.
+Every partition holds about 1/n_buckets of the distinct scores; the results are
+exact whatever the cut points are. Group totals come from the range totals too, so
+no step gathers a group's scores. A group with one class only has no ROC AUC (null);
+without positives its average precision is 0.
 
 Single values that parameterise a later step (totals, a tuned threshold)
 are scalar subqueries, not joins.
@@ -82,54 +84,42 @@ def cumulative_desc(counts: DataFrame, n_buckets: int = DEFAULT_BUCKETS, by: lis
         merged = F.sort_array(F.array_union(cuts, F.array(F.col("s").cast("double"))))
         bucketed = counts.withColumn("_b", F.array_position(merged, F.col("s").cast("double")) - 1)
     totals = bucketed.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    above = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)                       # at most n_buckets rows per group
+    above = group.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(c).alias("_o_" + c) for c in by], F.col("_b").alias("_ob"),
                             F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),
-                            F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_on"))
+                            F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_on"),
+                            F.sum("_bp").over(group).alias("P"), F.sum("_bn").over(group).alias("N"))
     inside = Window.partitionBy(*by, "_b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cond = F.col("_b") == F.col("_ob")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col("_o_" + c))
-    # offsets: at most n_buckets rows per group
     j = bucketed.join(offsets, cond)
     return j.select(*by, "s", "pos", "neg",
                     (F.sum("pos").over(inside) + F.col("_op")).cast("long").alias("tp"),
-                    (F.sum("neg").over(inside) + F.col("_on")).cast("long").alias("fp"))
-
-
-def _totals(counts: DataFrame):
-    t = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return t.select("P").scalar(), t.select("N").scalar()
+                    (F.sum("neg").over(inside) + F.col("_on")).cast("long").alias("fp"), "P", "N")
 
 
 # A15 / A16
 def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label",
                     n_buckets: int = DEFAULT_BUCKETS, by: list[str] = ()) -> DataFrame:
-    """ROC AUC (ties count half) and step-wise average precision, per group."""
-    by = list(by)
-    counts = score_counts(df, score, label, by)
-    cum = cumulative_desc(counts, n_buckets, by)
-    if by:
-        w = Window.partitionBy(*by)
-        cum = cum.withColumn("_P", F.sum("pos").over(w)).withColumn("_N", F.sum("neg").over(w))
-        P, N = F.col("_P"), F.col("_N")
-    else:
-        P, N = _totals(counts)
-    auc_term = F.col("pos") * (N - F.col("fp") + 0.5 * F.col("neg"))
-    ap_term = (F.col("pos") / P) * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    if by:
-        return cum.groupBy(*by).agg((F.sum(auc_term) / (F.max("_P") * F.max("_N"))).alias("auc"),
-                                    F.sum(ap_term).alias("prauc"))
-    return cum.agg((F.sum(auc_term) / (P * N)).alias("auc"), F.sum(ap_term).alias("prauc"))
+    """ROC AUC (ties count half) and step-wise average precision, per group.
+
+    Null with one class only (AUC); 0 without positives (average precision).
+    """
+    cum = cumulative_desc(score_counts(df, score, label, list(by)), n_buckets, list(by))
+    auc_term = F.col("pos") * (F.col("N") - F.col("fp") + 0.5 * F.col("neg"))
+    ap_term = F.when(F.col("P") > 0, (F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))).otherwise(0.0)
+    pairs = F.max(F.col("P") * F.col("N"))
+    return cum.groupBy(*by).agg(F.when(pairs > 0, F.sum(auc_term) / pairs).alias("auc"), F.sum(ap_term).alias("prauc"))
 
 
 # A17
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label",
              n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Precision and recall at every distinct threshold, plus the (1, 0) end point."""
-    counts = score_counts(df, score, label)
-    cum = cumulative_desc(counts, n_buckets)
-    P, _ = _totals(counts)
+    cum = cumulative_desc(score_counts(df, score, label), n_buckets)
+    P = F.col("P")
     pts = cum.select(F.col("s").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                      F.when(P == 0, F.lit(1.0)).otherwise(F.col("tp") / P).alias("recall"))
     end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
@@ -155,25 +145,28 @@ def best_threshold(df: DataFrame, score: str = "score", label: str = "label",
 
 # A19
 def grouped_metrics(scores: DataFrame, by=(), threshold=0.5, score: str = "score",
-                    label: str = "label") -> DataFrame:
-    """Per group: threshold, confusion counts at ``score >= threshold``, P/R/F1,
-    ROC AUC and AP.  ``threshold`` may be a number or a scalar Column; it is
-    only used inside the aggregate."""
+                    label: str = "label", pred: Column | None = None) -> DataFrame:
+    """Per group: threshold, confusion counts, P/R/F1, ROC AUC and AP.
+
+    A row counts as positive at ``score >= threshold`` (a number or a scalar
+    Column), or where ``pred`` holds if that is given. A null group is a group.
+    """
     by = list(by)
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    p = F.col(score) >= t
+    p = pred if pred is not None else F.col(score) >= t
     y = F.col(label) == 1
-    keys = by if by else [F.lit(1).alias("_g")]
-    cc = scores.groupBy(*keys).agg(F.max(t.cast("double")).alias("threshold"),
-                                   F.sum(F.when(p & y, 1).otherwise(0)).cast("long").alias("tp"),
-                                   F.sum(F.when(p & ~y, 1).otherwise(0)).cast("long").alias("fp"),
-                                   F.sum(F.when(~p & y, 1).otherwise(0)).cast("long").alias("fn"),
-                                   F.sum(F.when(~p & ~y, 1).otherwise(0)).cast("long").alias("tn"))
-    if by:
-        rk = ranking_metrics(scores, score, label, by=by)
-        return cc.join(rk, by).select(*by, "threshold", "tp", "fp", "fn", "tn", *prf_columns(), "auc", "prauc")
-    rk = ranking_metrics(scores.withColumn("_g", F.lit(1)), score, label, by=["_g"])
-    return cc.join(rk, "_g").select("threshold", "tp", "fp", "fn", "tn", *prf_columns(), "auc", "prauc")
+    keys = by or ["_g"]
+    rows = scores if by else scores.withColumn("_g", F.lit(1))
+    cc = rows.groupBy(*keys).agg(F.max(t.cast("double")).alias("threshold"),
+                                 F.sum(F.when(p & y, 1).otherwise(0)).cast("long").alias("tp"),
+                                 F.sum(F.when(p & ~y, 1).otherwise(0)).cast("long").alias("fp"),
+                                 F.sum(F.when(~p & y, 1).otherwise(0)).cast("long").alias("fn"),
+                                 F.sum(F.when(~p & ~y, 1).otherwise(0)).cast("long").alias("tn"))
+    rk = ranking_metrics(rows, score, label, by=keys).withColumnsRenamed({k: "_r_" + k for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_r_" + k))
+    return cc.join(rk, same).select(*by, "threshold", "tp", "fp", "fn", "tn", *prf_columns(), "auc", "prauc")
 
 
 def metrics_at(df: DataFrame, threshold, kind: str, score="score", label="label") -> DataFrame:

@@ -12,36 +12,25 @@
 
 from __future__ import annotations
 
+from functools import partial
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.operators import metrics as M
+from patchlens.operators import tfidf as TF
+from patchlens.operators.features import EXPERIMENT_FEATURES
+from patchlens.operators.sampling import stratified_kfold
 from patchlens.session import materialize
 
 SEED = 42
 
-# The four feature sets of the structured experiments.
-EXPERIMENT_FEATURES = {
-    "Exp-A: All 11 features": [
-        "diff_length", "func_before_length", "cyclomatic_complexity", "num_parameters", "num_function_calls",
-        "nesting_depth", "token_diversity", "security_keyword_count", "comment_ratio", "lines_added",
-        "lines_removed"],
-    "Exp-B: No patch-size (lines_added/removed)": [
-        "diff_length", "func_before_length", "cyclomatic_complexity", "num_parameters", "num_function_calls",
-        "nesting_depth", "token_diversity", "security_keyword_count", "comment_ratio"],
-    "Exp-C: Structural + complexity (honest enriched)": [
-        "func_before_length", "cyclomatic_complexity", "num_parameters", "num_function_calls",
-        "nesting_depth", "token_diversity", "comment_ratio"],
-    "Exp-D: Complexity only (no size at all)": [
-        "cyclomatic_complexity", "num_parameters", "num_function_calls", "nesting_depth",
-        "token_diversity", "comment_ratio"],
-}
-
-
 # M1 + M2
 def fit_scaler(train: DataFrame, features: list[str]) -> dict:
     """Train mean and population std per feature (a one-row aggregate)."""
@@ -105,46 +94,66 @@ def weight_sum(df: DataFrame, weight: str = "weight") -> float:
     return df.agg(F.sum(weight)).first()[0]
 
 
+def _in_parallel(spark, jobs: list, parallelism: int = 4) -> list:
+    """Results of independent fits; a cluster runs their jobs side by side."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs, chunksize=1)
+
+
+def _evaluated(model, rows: DataFrame, label: str = "label") -> dict:
+    """The metrics of a model's own predictions on ``rows`` (one aggregated row)."""
+    return M.grouped_metrics(score(model, rows), (), 0.5, "prob", label, pred=F.col("pred") == 1).first().asDict()
+
+
 # M7
 def cross_validate(train: DataFrame, make_estimator, k: int = 5, label: str = "label") -> DataFrame:
     """F1 of the positive class on each of k stratified folds (fold column 'fold')."""
-    rows = []
-    for f in range(k):
+    def one(f):
         fit_part = train.filter(F.col("fold") != f)
-        est = make_estimator(fit_part)
-        model = est.fit(fit_part)
-        scored = score(model, train.filter(F.col("fold") == f))
-        rows.append(M.grouped_metrics(scored.withColumn("fold", F.lit(f)), ["fold"], 0.5, "prob", label))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("fold", "f1")
+        model = make_estimator(fit_part).fit(fit_part)
+        return f, _evaluated(model, train.filter(F.col("fold") == f), label)["f1"]
+    spark = train.sparkSession
+    return spark.createDataFrame(_in_parallel(spark, [partial(one, f) for f in range(k)]), "fold int, f1 double")
+
+
+def model_kinds(n_trees: int = 100) -> dict:
+    """Model name -> estimator for a training frame."""
+    return {"Logistic Regression": lambda d: logreg(weight_sum(d)), "Random Forest": lambda d: forest(n_trees=n_trees)}
+
+
+MATRIX = ("experiment string, model string, threshold double, tp long, fp long, fn long, tn long, precision double, "
+          "recall double, f1 double, auc double, prauc double")
 
 
 # M8
 def experiment_matrix(train: DataFrame, test: DataFrame, experiments: dict = EXPERIMENT_FEATURES,
-                      with_forest: bool = True, n_trees: int = 100) -> DataFrame:
-    """Metric rows for each feature set x {logistic regression, random forest}.
+                      n_trees: int = 100, folds: int = 0) -> DataFrame:
+    """Test metrics for each feature set x {logistic regression, random forest}.
 
-    Sets whose features are missing, or whose test split has one class, are
-    skipped (P12 / P13).
+    Predictions are the model's own. With ``folds`` also the mean and deviation of
+    the F1 of that many stratified folds of the training rows, and gap = mean - test F1. Sets whose features are missing, or
+    whose test split has one class, are skipped (P12 / P13).
     """
-    out = None
-    n_classes = test.agg(F.countDistinct("label")).first()[0]
+    spark = train.sparkSession
+    if test.agg(F.countDistinct("label")).first()[0] < 2:
+        experiments = {}
+
+    def fit(name, mname, make, tr, te):
+        row = {"experiment": name, "model": mname, **_evaluated(make(tr).fit(tr), te)}
+        if folds:
+            cv = M.cv_summary(cross_validate(tr, make, folds)).first().asDict()
+            row |= {**cv, "gap": cv["cv_mean"] - row["f1"]}
+        return row
+
+    jobs = []
     for name, feats in experiments.items():
-        if missing(train.columns, feats) or n_classes < 2:
-            continue
-        tr, te, _ = prepared(train, test, feats)
-        tr = materialize(tr)
-        models = [("Logistic Regression", logreg(weight_sum(tr)))]
-        if with_forest:
-            models.append(("Random Forest", forest(n_trees=n_trees)))
-        for mname, est in models:
-            scored = score(est.fit(tr), te)
-            rows = M.grouped_metrics(scored.withColumn("experiment", F.lit(name)).withColumn("model", F.lit(mname)),
-                                     ["experiment", "model"], 0.5, "prob", "label")
-            out = rows if out is None else out.unionByName(rows)
-    return out
+        if not missing(train.columns, feats):
+            tr, te, _ = prepared(train, test, feats)
+            tr = materialize(stratified_kfold(tr, folds) if folds else tr)
+            jobs += [partial(fit, name, mname, make, tr, te) for mname, make in model_kinds(n_trees).items()]
+    schema = MATRIX + (", cv_mean double, cv_std double, n_folds long, gap double" if folds else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in _in_parallel(spark, jobs, 2)], schema)
 
 
 def missing(columns: list[str], features: list[str]) -> list[str]:
@@ -169,26 +178,72 @@ def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def fit_pipeline(train: DataFrame, features: list[str]) -> PipelineModel:
-    tr = balanced_weights(train.fillna(0, subset=features))
-    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
-              logreg(weight_sum(tr))]
-    return Pipeline(stages=stages).fit(tr)
+def fit_pipeline(train: DataFrame, features: list[str], make_estimator=None) -> PipelineModel:
+    """Scaler (population std of ``train``), vector and model as one pipeline that is saved and loaded whole."""
+    stats = fit_scaler(train, features)
+    cols = [f"coalesce(cast(`{f}` as double), 0.0D)" for f in features]
+    scaled = ", ".join((f"({c} - {m!r}D) / {s!r}D" if s else "0.0D") + f" AS `z_{f}`" for c, f, (m, s) in
+                       zip(cols, features, stats.values()))
+    stages = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
+              VectorAssembler(inputCols=["z_" + f for f in features], outputCol="features", handleInvalid="keep")]
+    weighted = balanced_weights(train)
+    estimator = make_estimator(weighted) if make_estimator else logreg(weight_sum(weighted))
+    return Pipeline(stages=[*stages, estimator]).fit(weighted)
+
+
+# M12
+def fit_text_model(train: DataFrame, params: TF.TfidfParams):
+    """(vocabulary, model) of a weighted logistic regression on the TF-IDF vectors of ``train`` (row_id, text, label).
+
+    Documents without a vocabulary term take part with an empty vector.
+    """
+    vocab, long = TF.fit_transform(train, params)
+    vocab = materialize(vocab)
+    rows = TF.to_sparse(train.select("row_id", "label"), long, params.max_features)
+    rows = materialize(balanced_weights(rows))
+    return vocab, logreg(weight_sum(rows)).fit(rows)
+
+
+def score_text(docs: DataFrame, vocab: DataFrame, model, params: TF.TfidfParams) -> DataFrame:
+    """``docs`` with prob and pred, one row per document."""
+    long = TF.transform(TF.term_counts(docs, params), vocab)
+    return score(model, TF.to_sparse(docs, long, params.max_features))
+
+
+def text_cross_validate(train: DataFrame, params: TF.TfidfParams, k: int = 5) -> DataFrame:
+    """F1 of each of k stratified folds; vocabulary and model are fitted anew without the fold."""
+    folded = materialize(stratified_kfold(train, k))
+
+    def one(f):
+        vocab, model = fit_text_model(folded.filter(F.col("fold") != f), params)
+        scored = score_text(folded.filter(F.col("fold") == f), vocab, model, params)
+        return f, M.grouped_metrics(scored, (), 0.5, "prob", pred=F.col("pred") == 1).first()["f1"]
+    spark = train.sparkSession
+    return spark.createDataFrame(_in_parallel(spark, [partial(one, f) for f in range(k)]), "fold int, f1 double")
+
+
+def save_text_model(vocab: DataFrame, model, path: str) -> None:
+    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    model.write().overwrite().save(f"{path}/model")
+
+
+def load_text_model(spark, path: str):
+    return spark.read.parquet(f"{path}/vocabulary"), LogisticRegressionModel.load(f"{path}/model")
 
 
 # M16
-def batch_score(df: DataFrame, features: list[str], weights: list[float], bias: float,
-                id_col: str = "row_id") -> DataFrame:
-    """Probability scoring in Arrow batches with a pluggable numpy model."""
+def linear_scorer(weights: list[float], bias: float):
+    """Scorer of a linear model for ``batch_score``."""
     import numpy as np
     w = np.asarray(weights, dtype="float64")
+    return lambda x: 1.0 / (1.0 + np.exp(-(x @ w + bias)))
+
 
+def batch_score(df: DataFrame, features: list[str], scorer, id_col: str = "row_id") -> DataFrame:
+    """(id, prob) in Arrow batches. ``scorer``: any function of a (rows, features) array of doubles, nulls as 0."""
     def predict(batches):
         for pdf in batches:
             x = pdf[features].fillna(0.0).to_numpy(dtype="float64")
-            z = x @ w + bias
-            pdf = pdf[[id_col]].copy()
-            pdf["prob"] = 1.0 / (1.0 + np.exp(-z))
-            yield pdf
+            yield pdf[[id_col]].assign(prob=scorer(x))
     schema = f"{id_col} long, prob double"
     return df.select(id_col, *[F.col(f).cast("double") for f in features]).mapInPandas(predict, schema)

@@ -69,22 +69,36 @@ def hash_rank(df: DataFrame, key: str, by: list[str] = (), tie: str | None = Non
             .drop("_bucket", "_o_bucket", "_offset", *["_o_" + c for c in by]))
 
 
+def first_keys(df: DataFrame, limits: dict, label: str, order: str, spread: int = 256) -> DataFrame:
+    """(label, order) of the first ``limits[c]`` rows of each class ``c``; ``order`` must be unique.
+
+    Two narrow steps: the first rows of each of ``spread`` parts of a class, then the
+    first of those. The last step gets at most spread * limit keys of a class.
+    """
+    most = max(limits.values())
+    keys = df.where(F.col(label).isin(list(limits))).select(label, order)
+    part = F.pmod(F.xxhash64(order), F.lit(spread))
+    some = keys.withColumn("_part", part).withColumn("_rn", F.row_number().over(
+        Window.partitionBy(label, "_part").orderBy(order))).where(F.col("_rn") <= most).drop("_part", "_rn")
+    ranked = some.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(order)))
+    within = reduce(lambda a, b: a | b, [(F.col(label) == c) & (F.col("_rn") <= q) for c, q in limits.items()])
+    return ranked.where((F.col("_rn") <= most) & within).drop("_rn")
+
+
 # W1
 def quota_per_class(df: DataFrame, quotas: dict, label: str = "label", order: str = "row_id") -> DataFrame:
-    """First ``quotas[c]`` rows of each class ``c`` in ``order``."""
-    max_q = max(quotas.values())
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    per_class = reduce(lambda a, b: a | b,
-                       [(F.col(label) == c) & (F.col("_rn") <= q) for c, q in quotas.items()])
-    return (df.filter(F.col(label).isin(list(quotas)))
-            .withColumn("_rn", rn)
-            .filter((F.col("_rn") <= max_q) & per_class)
-            .drop("_rn"))
+    """First ``quotas[c]`` rows of each class ``c`` in ``order`` (unique).
+
+    The class's last order value is a scalar; the rows themselves are filtered in place, never shuffled.
+    """
+    cut = quota_cutoffs(df, quotas, label, order)
+    last = {c: cut.where(F.col(label) == c).select("last_" + order).scalar() for c in quotas}
+    return df.where(reduce(lambda a, b: a | b, [(F.col(label) == c) & (F.col(order) <= last[c]) for c in quotas]))
 
 
 def quota_cutoffs(df: DataFrame, quotas: dict, label: str = "label", order: str = "row_id") -> DataFrame:
     """Per class: rows collected and the ``order`` value of the last one."""
-    return (quota_per_class(df, quotas, label, order)
+    return (first_keys(df, quotas, label, order)
             .groupBy(label).agg(F.count(F.lit(1)).alias("collected"), F.max(order).alias("last_" + order)))
 
 
@@ -111,61 +125,86 @@ def shuffle_rows(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "row_id"
 
 
 # W4
-def split_projects(df: DataFrame, test_frac: float = 0.25, seed: int = DEFAULT_SEED,
-                   col: str = "project") -> DataFrame:
-    """(project, split): ``max(1, int(n*test_frac))`` projects go to test.
+def last_test_key(df: DataFrame, test_frac: float = 0.25, seed: int = DEFAULT_SEED, col: str = "project") -> Column:
+    """The hash of the last of the ``max(1, int(n * test_frac))`` test projects, as a scalar.
 
     Projects are ordered by a seeded hash; a null project is one group.
-    The table has one row per distinct project.
     """
-    projects = df.select(col).distinct().withColumn("_pkey", hash_key(col, seed))
-    n = projects.agg(F.count(F.lit(1))).scalar()          # scalar subquery
+    projects = df.select(hash_key(col, seed).alias("_pkey")).distinct()
+    n = projects.agg(F.count(F.lit(1))).scalar()
     n_test = F.greatest(F.lit(1), F.floor(n * F.lit(test_frac))).cast("long")
     ranked = hash_rank(projects, "_pkey", out="_prank", digits=2)
-    return ranked.select(col, F.when(F.col("_prank") <= n_test, "test").otherwise("train").alias("split"))
+    return ranked.agg(F.max(F.when(F.col("_prank") <= n_test, F.col("_pkey")))).scalar()
+
+
+def _part(df: DataFrame, test_frac: float, seed: int, col: str) -> Column:
+    return F.when(hash_key(col, seed) <= last_test_key(df, test_frac, seed, col), "test").otherwise("train")
+
+
+def split_projects(df: DataFrame, test_frac: float = 0.25, seed: int = DEFAULT_SEED,
+                   col: str = "project") -> DataFrame:
+    """(project, split), one row per distinct project."""
+    return df.select(col).distinct().withColumn("split", _part(df, test_frac, seed, col))
 
 
 def project_wise_split(df: DataFrame, test_frac: float = 0.25, seed: int = DEFAULT_SEED,
                        col: str = "project") -> DataFrame:
-    """Rows with a ``split`` column ('train' / 'test'); projects never straddle."""
-    assign = split_projects(df, test_frac, seed, col).withColumnRenamed(col, "_sp_" + col)
-    return (df.join(assign, df[col].eqNullSafe(assign["_sp_" + col]), "left")
-            .drop("_sp_" + col))
+    """Rows with a ``split`` column ('train' / 'test'); projects never straddle.
+
+    A row compares its project's hash with the cut: neither joined nor shuffled.
+    """
+    return df.withColumn("split", _part(df, test_frac, seed, col))
+
+
+#: Distinct keys that a join may broadcast (a few MB of strings).
+BROADCAST_KEYS = 50_000
+
+
+def _distinct_keys(projects: DataFrame, col: str) -> DataFrame:
+    """The distinct keys, broadcast if their number was counted to be small."""
+    keys = projects.select(F.col(col).alias("_p")).distinct()
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
 # J1 / J2
 def semi_join_projects(df: DataFrame, projects: DataFrame, col: str = "project") -> DataFrame:
-    p = projects.select(F.col(col).alias("_p"))
-    return df.join(p, df[col].eqNullSafe(p["_p"]), "left_semi")
+    return df.join(_distinct_keys(projects, col), F.col(col).eqNullSafe(F.col("_p")), "left_semi")
 
 
 def anti_join_projects(df: DataFrame, projects: DataFrame, col: str = "project") -> DataFrame:
-    p = projects.select(F.col(col).alias("_p"))
-    return df.join(p, df[col].eqNullSafe(p["_p"]), "left_anti")
+    return df.join(_distinct_keys(projects, col), F.col(col).eqNullSafe(F.col("_p")), "left_anti")
 
 
 # W5
 def balanced_sample(df: DataFrame, per_class: int = 2500, seed: int = DEFAULT_SEED,
-                    label: str = "label", id_col: str = "row_id") -> DataFrame:
+                    label: str = "label", id_col: str = "row_id", classes: tuple = (0, 1)) -> DataFrame:
     """``min(n_c, per_class)`` hash-chosen rows per class, then shuffled."""
     keyed = df.withColumn("_k", hash_key(id_col, seed))
-    rn = F.row_number().over(Window.partitionBy(label).orderBy("_k", id_col))
-    return (keyed.withColumn("_rn", rn).filter(F.col("_rn") <= per_class)
-            .drop("_rn", "_k")
-            .withColumn("shuffle_key", hash_key(id_col, seed + 1)))
+    return (quota_per_class(keyed, {c: per_class for c in classes}, label, "_k")
+            .drop("_k").withColumn("shuffle_key", hash_key(id_col, seed + 1)))
 
 
 # W6
 def stratified_split(df: DataFrame, frac: float = 0.15, seed: int = DEFAULT_SEED,
-                     label: str = "label", id_col: str = "row_id") -> DataFrame:
-    """Adds ``part`` = 'val' for ``round(frac * n_c)`` hash-chosen rows per class."""
-    keyed = df.withColumn("_k", hash_key(id_col, seed))
-    ranked = hash_rank(keyed, "_k", by=[label], tie=id_col, out="_r")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).withColumnRenamed(label, "_l")
-    j = ranked.join(sizes, ranked[label].eqNullSafe(sizes["_l"]), "inner")
-    return (j.withColumn("part", F.when(F.col("_r") <= F.round(F.col("_nc") * F.lit(frac)), "val")
-                         .otherwise("train"))
-            .drop("_k", "_r", "_nc", "_l"))
+                     label: str = "label", id_col: str = "row_id", digits: int = 3) -> DataFrame:
+    """Adds ``part`` = 'val' for ``round(frac * n_c)`` hash-chosen rows per class.
+
+    Counts by key prefix tell in which prefix a class's last 'val' key lies; only that prefix's keys are
+    ranked. Rows compare their key with the class's cut (one row per class).
+    """
+    keys = df.select(F.col(label).alias("_l"), hash_key(id_col, seed).alias("_k")).withColumn("_b", F.substring("_k", 1, digits))
+    sizes = keys.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("_l")
+    upto = F.sum("_n").over(group.orderBy("_b"))
+    want = F.round(F.sum("_n").over(group) * F.lit(frac))
+    hit = sizes.select("_l", "_b", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), want.alias("_want")) \
+        .where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_upto"))) \
+        .withColumnsRenamed({"_l": "_hl", "_b": "_hb"})
+    near = keys.join(hit, F.col("_l").eqNullSafe(F.col("_hl")) & (F.col("_b") == F.col("_hb")))
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy("_k")) + F.col("_before")
+    cut = near.withColumn("_r", rank).where(F.col("_r") == F.col("_want")).select(F.col("_l").alias("_cl"), F.col("_k").alias("_cut"))
+    marked = df.join(cut, F.col(label).eqNullSafe(F.col("_cl")), "left")
+    return marked.withColumn("part", F.when(hash_key(id_col, seed) <= F.col("_cut"), "val").otherwise("train")).drop("_cl", "_cut")
 
 
 # W7

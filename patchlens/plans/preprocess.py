@@ -1,9 +1,9 @@
 """Function table: raw -> ready -> enriched, as one lazy plan.
 
-scan (pushed-down language / null filters) -> length filter -> per-class
-quota (window group limit) -> select/rename -> keep-first dedup on
-(function text, label) -> null fills -> patch cleaning -> features ->
-seeded shuffle order.
+scan (pushed-down language / null filters) -> length filter -> select/rename ->
+keep-first dedup on (function text, label) -> null fills -> patch cleaning ->
+features -> seeded shuffle order. A per-class quota is applied only where a
+caller asks for one.
 """
 
 from __future__ import annotations
@@ -16,19 +16,21 @@ from patchlens.functions.enrich import enrich_all
 from patchlens.operators import filters as P
 from patchlens.operators import sampling as W
 
-MAX_VULN = 3000
-MAX_SAFE = 6000
-QUOTAS = {1: MAX_VULN, 0: MAX_SAFE}
+#: Default quota of the quota operator itself; no other step applies it.
+QUOTAS = {1: 3000, 0: 6000}
 CHUNK_SIZE = 2000
 SEED = 42
 
 
-def collected_rows(raw: DataFrame, quotas: dict = QUOTAS) -> DataFrame:
-    """Rows that pass the row filter, first quota per class in file order."""
-    return W.quota_per_class(P.clean_function_rows(raw), quotas, label="vul", order="row_id")
+def collected_rows(raw: DataFrame, quotas: dict | None = None) -> DataFrame:
+    """Rows of either class that pass the row filter; with quotas the first ones per class in file order."""
+    rows = P.clean_function_rows(raw)
+    if quotas is None:
+        return rows.where(F.col("vul").isin(0, 1))
+    return W.quota_per_class(rows, quotas, label="vul", order="row_id")
 
 
-def ready(raw: DataFrame, quotas: dict = QUOTAS, use_security_terms: bool = True,
+def ready(raw: DataFrame, quotas: dict | None = None, use_security_terms: bool = True,
           shuffle: bool = False) -> DataFrame:
     """Schema *function_ready* (plus ``row_id``)."""
     df = P.select_rename(collected_rows(raw, quotas), keep=["row_id"])
@@ -46,7 +48,7 @@ def ready(raw: DataFrame, quotas: dict = QUOTAS, use_security_terms: bool = True
     return df
 
 
-def enriched(raw: DataFrame, quotas: dict = QUOTAS) -> DataFrame:
+def enriched(raw: DataFrame, quotas: dict | None = None) -> DataFrame:
     """Schema *function_enriched*: ready + the seven code metrics, with the
     diff line counts recomputed from the cleaned diff."""
     return enrich_all(ready(raw, quotas), "func_before", "diff")

@@ -2,13 +2,16 @@
 
 Jobs that cut lineage or hand tables between stages write to the folder the
 cluster names in ``spark.checkpoint.dir``.  That setting is read from the
-running session; a local folder is only chosen when it is unset (tests and
-single-machine runs).
+running session; on a local master a folder is made when it is unset, and deleted
+when the process ends. On a cluster an unset folder is an error: a machine-local
+one would leave each executor with its own part of a table.
 """
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -55,30 +58,25 @@ def apply_session_conf(spark: SparkSession) -> None:
     """Apply the runtime SQL settings to an existing session."""
     for k, v in DEFAULT_CONF.items():
         if k.startswith("spark.sql."):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf on a foreign session
-                pass
+            spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and stage hand-offs.
 
-    ``spark.checkpoint.dir`` if the cluster sets it; otherwise (tests, local
-    runs) a folder is created once and recorded in the session.
+    ``spark.checkpoint.dir`` if it is set; otherwise, on a local master only, a
+    folder that is made once, recorded in the session and deleted at exit.
     """
     conf = spark.sparkContext.getConf()
     d = conf.get("spark.checkpoint.dir", None)
     if not d:
-        try:
-            d = spark.conf.get("spark.checkpoint.dir")
-        except Exception:
-            d = None
+        d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="patchlens-ckpt-")
+        if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="patchlens-shared-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -88,12 +86,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path_exists(path: str) -> bool:
-    return os.path.exists(path)
-
-
 def materialize(df):
-    """Cut a finished stage's lineage: reliable checkpoint into the shared
-    folder (survives executor loss; never a machine-local copy)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut a finished stage's lineage: a Parquet table in the shared folder.
+
+    Unlike a checkpoint's serialised rows, later reads prune columns, push
+    filters down and know the table's size.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

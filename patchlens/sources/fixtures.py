@@ -11,6 +11,7 @@ work grows with the data:
                        (this is the assembled form, see operators.profile).
 * ``scored_rows``     documents x labels with a deterministic score.
 * ``text_rows``       documents x labels as a text-classification table.
+* ``corpus_rows``     all documents as (row_id, text, project).
 
 All text is assembled in a deterministic order, so results do not depend on
 partitioning.
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlens.operators.features import EXPERIMENT_FEATURES
 from patchlens.sources.tables import read_table
 
 NL = "\n"
@@ -133,6 +135,12 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("n_chars") % 101).cast("double") / 100.0).alias("score")))
 
 
+def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, text, project): all documents, labelled or not."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return docs.select(F.col("doc_id").alias("row_id"), "text", F.col("source").alias("project"))
+
+
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, text, project, label): documents x labels for the text models."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
@@ -142,13 +150,8 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("source").alias("project"), F.col("toxic").cast("int").alias("label")))
 
 
-# Experiment names and model names of the results table.
-EXPERIMENTS = [
-    "Exp-A: All 11 features",
-    "Exp-B: No patch-size (lines_added/removed)",
-    "Exp-C: Structural + complexity (honest enriched)",
-    "Exp-D: Complexity only (no size at all)",
-]
+EXPERIMENTS = list(EXPERIMENT_FEATURES)
+# Model names of the results table.
 MODELS = ["Logistic Regression", "Random Forest"]
 
 
