@@ -157,7 +157,8 @@ fx_items AS (
   GROUP BY l_orderkey),
 fx_base AS (
   SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_orderpriority, c.c_nationkey,
-         i.body, i.dbody, i.n, i.n_add, i.n_del,
+         i.body, CASE WHEN o.o_orderkey % 53 = 0 THEN concat(repeat(concat(i.dbody, chr(10)), 39), i.dbody)
+                      ELSE i.dbody END AS dbody, i.n, i.n_add, i.n_del,
          CASE WHEN o.o_orderkey % 97 = 0 THEN NULL
               ELSE concat(CASE o.o_custkey % 4
                             WHEN 0 THEN concat('void fn(void) {{', chr(10))
@@ -196,7 +197,9 @@ commit_files AS (
               WHEN 2 THEN NULL ELSE concat('Change ', o_orderpriority) END AS commit_message,
          CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER_SQL}) AS INTEGER) AS pos,
          concat('f', CAST(l_partkey AS VARCHAR), '.c') AS filename,
-         CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE concat({SIGN_SQL}, {LINE_SQL}) END AS diff
+         CASE WHEN l_partkey % 11 = 0 THEN NULL
+              WHEN l_partkey % 211 = 0 THEN concat(repeat(concat({SIGN_SQL}, {LINE_SQL}, chr(10)), 999), {SIGN_SQL}, {LINE_SQL})
+              ELSE concat({SIGN_SQL}, {LINE_SQL}) END AS diff
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 COMMIT_RAW = """

@@ -64,6 +64,8 @@ def functions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("n_del")))
     body = F.array_join(F.transform("xs", lambda x: x["line"]), NL)
     dbody = F.array_join(F.transform("xs", lambda x: F.concat(x["sign"], x["line"])), NL)
+    # Some patches are long, so that the upper length bounds act.
+    dbody = F.when(F.col("o_orderkey") % 53 == 0, F.concat(F.repeat(F.concat(dbody, F.lit(NL)), 39), dbody)).otherwise(dbody)
     orders = read_table(spark, sf_dir, "orders",
                         ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
@@ -112,6 +114,7 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     ok = F.col("o_orderkey")
+    change = F.concat(_sign_expr(), _line_expr())
     msg = (F.when(ok % 10 == 0, F.lit("Merge branch x"))
            .when(ok % 10 == 1, F.lit("Fix typo in README"))
            .when(ok % 10 == 2, F.lit(None).cast("string"))
@@ -122,7 +125,8 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.row_number().over(w).cast("int").alias("pos"),
                     F.concat(F.lit("f"), F.col("l_partkey").cast("string"), F.lit(".c")).alias("filename"),
                     F.when(F.col("l_partkey") % 11 == 0, F.lit(None).cast("string"))
-                     .otherwise(F.concat(_sign_expr(), _line_expr())).alias("diff")))
+                     .when(F.col("l_partkey") % 211 == 0, F.concat(F.repeat(F.concat(change, F.lit(NL)), 999), change))
+                     .otherwise(change).alias("diff")))
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
