@@ -10,8 +10,6 @@ positions as the longest token has bytes.
 from __future__ import annotations
 
 import base64
-import sys
-from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from patchlens.llm.common import bounded_batches
-from patchlens.llm.tokens import ChunkEncoder, text_slices
+from patchlens.llm.tokens import ChunkEncoder, little, text_slices
 
 
 #: Pairs of neighbours whose verdict a worker keeps, and distinct pieces whose ids it keeps.
@@ -190,10 +188,6 @@ def _token_bytes(path: str) -> list[bytes]:
 @lru_cache(2)
 def _chunks(path: str, pattern: str) -> ChunkEncoder:
     voc, split, pieces = _vocabulary(path), regex.compile(pattern), {}
-    little = sys.byteorder == "little"
-
-    def pack(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes() if little else np.array(ids, "<u4").tobytes()
 
     def one(chunk: str) -> bytes:
         ids = []
@@ -202,7 +196,7 @@ def _chunks(path: str, pattern: str) -> ChunkEncoder:
             if got is None:
                 if len(pieces) >= PIECES:
                     pieces.clear()
-                got = pieces[piece] = pack(encode_piece(voc, piece.encode()))
+                got = pieces[piece] = little(encode_piece(voc, piece.encode()))
             ids.append(got)
         return ids[0] if len(ids) == 1 else b"".join(ids)
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from patchlens.llm.common import bounded_batches
-from patchlens.llm.tokens import ChunkEncoder, text_slices
+from patchlens.llm.tokens import ChunkEncoder, little, text_slices
 
 #: Ids of a block; its last window's padding is at most window / BLOCK_IDS of it.
 BLOCK_IDS = 1 << 20
@@ -37,19 +37,19 @@ def cut_points(ids: np.ndarray, doc_end: np.ndarray, sentence_end: np.ndarray, w
     ids: the stream; doc_end: positions after each document; sentence_end: bool by id.
     """
     step = max(1, window // 32)
-    soft = np.flatnonzero(sentence_end[ids]) + 1
-    at = np.union1d(soft, doc_end)
+    ends = sentence_end[ids]
+    ends[doc_end - 1] = True
+    at = np.flatnonzero(ends) + 1
     gap = np.diff(at, prepend=0)
-    far = np.flatnonzero(gap > step)
-    if len(far):
-        inside = np.concatenate([np.arange(at[k] - gap[k] + step, at[k], step) for k in far])
-        at = np.union1d(at, inside)
-    else:
-        inside = np.zeros(0, np.int64)
-    penalty = np.full(len(at), SENTENCE, np.int64)
-    penalty[np.searchsorted(at, inside)] = INSIDE
-    penalty[np.searchsorted(at, doc_end)] = 0
-    return at, penalty
+    more = (gap - 1) // step  # cuts inside the gap before each place
+    which = np.repeat(np.arange(len(at)), more)
+    inside = (at - gap)[which] + (np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + 1) * step
+    penalty = np.full(len(ids), SENTENCE, np.int8)
+    penalty[inside - 1] = INSIDE
+    penalty[doc_end - 1] = 0
+    ends[inside - 1] = True
+    at = np.flatnonzero(ends) + 1
+    return at, penalty[at - 1]
 
 
 def best_cuts(at, penalty, window: int) -> list[int]:
@@ -57,7 +57,7 @@ def best_cuts(at, penalty, window: int) -> list[int]:
 
     The stream's last window counts its padding like any other. Ties: the longest window.
     """
-    at, penalty = [0, *map(int, at)], [0, *map(int, penalty)]
+    at, penalty = [0, *at.tolist()], [0, *penalty.tolist()]
     n = len(at)
     before = [0] * n
     queue = deque([(0, 0, 0)])  # (best[i] + at[i], at[i], i), keys rising
@@ -99,7 +99,7 @@ def _encoder(path: str):
     def encode(chunks: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(chunks), 1 << 12):  # the library's results are large until their ids are taken out
-            out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(chunks[i:i + (1 << 12)], add_special_tokens=False)]
+            out += [little(e.ids) for e in tok.encode_batch_fast(chunks[i:i + (1 << 12)], add_special_tokens=False)]
         return out
 
     n = tok.get_vocab_size()
@@ -107,7 +107,7 @@ def _encoder(path: str):
     for word, i in tok.get_vocab().items():
         # Byte-level vocabularies spell a newline as U+010A.
         ends[i] = word[-1] in ".!?Ċ" if word else False
-    return ChunkEncoder(encode, 1 << 18), ends
+    return ChunkEncoder(encode), ends
 
 
 def pack(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0,

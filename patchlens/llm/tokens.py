@@ -8,6 +8,8 @@ each; only distinct parts that a worker has not seen reach the encoder.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,11 @@ _UNSAFE = r"[\s\x1c-\x1f\x85\p{Z}] | [\s\x1c-\x1f\x85\p{Z}]|^ | $"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class ChunkEncoder:
     """Ids of texts by ``encode``: list of str -> list of bytes (ids as little-endian uint32).
 
@@ -69,8 +76,7 @@ class ChunkEncoder:
         names = coded.dictionary.to_pylist()
         head = np.zeros(len(code), bool)
         head[off[:-1]] = True  # every text has a first part, if only an empty one
-        spaced = np.unique(code[~head])
-        bare = np.unique(code[head])
+        spaced, bare = (np.flatnonzero(np.bincount(code[m], minlength=len(names))) for m in (~head, head))
         ids, begin = self._table([" " + names[c] for c in spaced] + [names[c] for c in bare])
         row = np.zeros((2, len(names)), np.int64)
         row[0, spaced] = np.arange(len(spaced))
