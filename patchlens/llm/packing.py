@@ -96,13 +96,31 @@ def _encoder(path: str):
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True  # such strings in a text are ordinary text
 
+    n = tok.get_vocab_size()
+    size = np.zeros(n, np.int64)
+    for word, i in tok.get_vocab().items():
+        size[i] = len(word)  # a byte-level vocabulary spells each byte as one character
+
+    def joined(chunks: list[str]) -> list[bytes]:
+        """Chunks that may follow each other in one text: encoded as one, and cut where their bytes end."""
+        ids = np.array(tok.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ends_at = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        cut = np.searchsorted(np.cumsum(size[ids]), ends_at, side="right") * 4
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip([0, *cut[:-1].tolist()], cut.tolist())]
+
     def encode(chunks: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(chunks), 1 << 12):  # the library's results are large until their ids are taken out
-            out += [little(e.ids) for e in tok.encode_batch_fast(chunks[i:i + (1 << 12)], add_special_tokens=False)]
+        out: list = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        for i in range(0, len(plain), 1 << 10):
+            part = plain[i:i + (1 << 10)]
+            for k, ids in zip(part, joined([chunks[k] for k in part])):
+                out[k] = ids
+        for k, ids in enumerate(out):
+            if ids is None:
+                out[k] = little(tok.encode(chunks[k], add_special_tokens=False).ids)
         return out
 
-    n = tok.get_vocab_size()
     ends = np.zeros(n, bool)
     for word, i in tok.get_vocab().items():
         # Byte-level vocabularies spell a newline as U+010A.
