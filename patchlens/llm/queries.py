@@ -4,7 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from patchlens.llm import bpe, chat, embeddings, packing, quality, sharding, simhash, substrings, suffix_dedup, warc
+from patchlens.llm import (bpe, chat, clusters, divergence, embeddings, packing, quality, sharding, simhash, substrings,
+                           suffix_dedup, toxicity, warc)
 from patchlens.llm.common import Handoff, read_table
 from patchlens.llm.registry import query
 
@@ -180,3 +181,68 @@ def op8(spark, sf_dir):
     other = other.join(last, F.col("file").eqNullSafe(F.col("f"))).where(
         (F.col("file") % 29 != 0) | (F.col("ordinal") < F.col("end")) | (F.col("end") == 0) | F.col("file").isNull())
     return warc.audit(one, warc.tree(other, work), work)
+
+
+DIVERGENCE_SQL = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+o as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as total from o group by lang, term having count(distinct r) >= 10),
+c as (select lang, source, term, count(*) as n from o semi join k using (lang, term) group by lang, source, term),
+g as (select distinct lang, source from d),
+l as (select lang, count(*) as v, sum(total) as n_lang from k group by lang),
+t as (select g.lang, g.source, coalesce(v, 0) as v, coalesce((select sum(n) from c where c.lang = g.lang and c.source = g.source), 0) + 2 * coalesce(v, 0) as whole,
+  coalesce(n_lang, 0) + 2 * coalesce(v, 0) as lang_whole from g left join l using (lang)),
+p as (select t.lang, t.source, k.term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // t.whole as p,
+    1 + (1000000000::hugeint * (total + 2)) // t.lang_whole as q
+  from t join k using (lang) left join c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+f as (select a.lang, a.source, 'pair' as part, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+  union all select a.lang, a.source, 'pair', b.source, 0 from t a join t b on a.lang = b.lang and a.source <> b.source where a.v = 0
+  union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from p where n > 0 and p > q),
+ranked as (select lang, source, part, item, cast(value as bigint) as value,
+  cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from f)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark, sf_dir):
+    """All sources of a language compared over its whole vocabulary, and their leading terms."""
+    return divergence.audit(read_table(spark, sf_dir, "documents", "text", "lang", "source"), Handoff(spark))
+
+
+def _cluster_sql(k: int, rounds: int, seed: int) -> str:
+    near = """a{i} as materialized (select u.r, arg_min(k, (s, k)) as k, min(s) as s from (
+    select v.r, c.k, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as s from v, c{i} c) u group by u.r)"""
+    mean = """c{j} as materialized (select c.k, coalesce(m.v, c.v) as v from c{i} c left join (
+    select k, list((t - ((t % n) + n) % n) // n order by i) as v from (
+      select a.k, i, cast(sum(v.v[i]) as bigint) as t, count(*) as n from a{i} a join v using (r), range(1, 65) as o(i) group by a.k, i) group by k) m using (k))"""
+    steps = [near.format(i=0)]
+    for i in range(rounds):
+        steps += [mean.format(i=i, j=i + 1), near.format(i=i + 1)]
+    return f"""
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id), r) - 1 as k, v from v order by k limit {k}),
+{", ".join(steps)},
+e as (select k, sum(s) as cluster_inertia from a{rounds} group by k)
+select vec_id, cast(a.k as integer) as cluster, cast(s as bigint) as distance, cast(cluster_inertia as bigint) as cluster_inertia,
+  cast((select sum(s) from a{rounds}) as bigint) as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{rounds} a join v using (r) join c{rounds} c using (k) join e using (k)
+"""
+
+
+@query("op12_centroid_clusters", _cluster_sql(8, 10, 3))
+def op12(spark, sf_dir):
+    """All embeddings in 8 clusters after 10 rounds over bit planes."""
+    rows = clusters.cluster(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), Handoff(spark), k=8, rounds=10, seed=3)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                       F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256).alias("centroid_sha256"))
+
+
+@query("op13_toxicity")
+def op13(spark, sf_dir):
+    """All documents scored by two class-conditional Kneser-Ney models."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.toxicity(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"), Handoff(spark))
