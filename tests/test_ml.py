@@ -1,12 +1,16 @@
 """Fitted models by their defining properties, and the explanations."""
+import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patchlens.operators import explain as X
 from patchlens.operators import ml as ML
 from patchlens.operators import sampling as W
+from patchlens.operators import trees as TR
 
 FEATURES = ["a", "b", "c"]
 
@@ -86,6 +90,12 @@ def test_linear_values_add_up_without_a_shuffle(shap):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_plan_does_not_grow_with_the_features_squared(spark):
+    from patchlens.catalog import load_all
+    plan = load_all()["linear_shap"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert len(plan.toString()) < 200_000 and plan.executedPlan().toString().count("Scan parquet") == 1
+
+
 def test_rankings_sort_the_rows_own_entries(shap):
     whole = {r["row_id"]: r for r in shap.collect()}
     top = {}
@@ -120,3 +130,71 @@ def test_sampled_values_add_up_and_agree_with_a_linear_model(rows):
         assert phi["a"] == pytest.approx(2 * (i % 11 - b["a"])) and phi["b"] == pytest.approx(-3 * (i % 7 - b["b"])) and phi["c"] == 0
     with pytest.raises(ValueError):
         X.sampled_shap(rows, FEATURES, rows.limit(0), predict)
+
+
+def subset_values(nodes, x, n):
+    """Shapley values of one tree by enumeration: an unknown feature sends a row both ways, by the weights of the children."""
+    def value(i, known):
+        left, right, feature, threshold, weights = nodes[i]
+        if left < 0:
+            return weights[1] / sum(weights)
+        if feature in known:
+            return value(left if x[feature] <= threshold else right, known)
+        return sum(sum(nodes[c][4]) * value(c, known) for c in (left, right)) / sum(weights)
+
+    phi = [0.0] * n
+    for i in range(n):
+        others = [j for j in range(n) if j != i]
+        for k in range(n):
+            for s in itertools.combinations(others, k):
+                share = math.factorial(k) * math.factorial(n - 1 - k) / math.factorial(n)
+                phi[i] += share * (value(0, {*s, i}) - value(0, set(s)))
+    return phi, value(0, set())
+
+
+def random_tree(rng, n, depth):
+    nodes = {}
+
+    def grow(i, depth, weight):
+        if depth == 0 or rng.random() < 0.15:
+            one = rng.uniform(0, weight)
+            nodes[i] = (-1, -1, -1, 0.0, (weight - one, one))
+            return nodes[i][4]
+        part = rng.uniform(0.1, 0.9) * weight
+        left, right = 2 * i + 1, 2 * i + 2
+        a, b = grow(left, depth - 1, part), grow(right, depth - 1, weight - part)
+        nodes[i] = (left, right, rng.randrange(n), rng.choice([-1.0, 0.0, 0.5, 1.0]), (a[0] + b[0], a[1] + b[1]))
+        return nodes[i][4]
+
+    grow(0, depth, 100.0)
+    return nodes
+
+
+@pytest.mark.parametrize("rows", [7, 300])  # row by row, and from a table of patterns
+def test_tree_values_equal_the_enumeration_of_all_subsets(rows):
+    rng = random.Random(rows)
+    for n, depth in ((1, 3), (4, 1), (4, 5), (6, 7)):
+        forest = [random_tree(rng, n, depth) for _ in range(3)]
+        x = np.array([[rng.choice([-2.0, -1.0, 0.0, 0.3, 1.0, 2.0, float("nan")]) for _ in range(n)] for _ in range(rows)])
+        leaves = [TR.leaves_of(t, n, len(forest)) for t in forest]
+        got = TR.explain(leaves, x)
+        for i in range(min(rows, 7)):
+            seen = [math.inf if math.isnan(v) else v for v in x[i]]
+            want = [subset_values(t, seen, n) for t in forest]
+            assert np.allclose(got[i], np.mean([w[0] for w in want], axis=0), atol=1e-12)
+            assert sum(t.expected for t in leaves) == pytest.approx(np.mean([w[1] for w in want]), abs=1e-12)
+
+
+def test_tree_values_add_up_to_the_forests_probability(rows):
+    tr, te, _ = ML.prepared(rows.withColumn("d", F.pmod(F.xxhash64("a", "b", "row_id"), F.lit(5)).cast("double")), rows.withColumn("d", F.lit(2.0)), ["a", "b", "c", "d"])
+    model = ML.forest(n_trees=8, depth=6).fit(tr)
+    scored = ML.score(model, te).select("row_id", "prob", "features")
+    whole = TR.tree_shap(scored, model)
+    parted = {r["row_id"]: r["phi"] for r in TR.tree_shap(scored, model, part_bytes=1).collect()}
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = whole.collect()
+    assert len(got) == 400
+    for r in got:
+        assert abs(r["base_value"] + sum(r["phi"]) - r["prob"]) < 1e-9 and r["phi"][2] == 0.0  # a constant feature
+        assert parted[r["row_id"]] == pytest.approx(r["phi"], abs=1e-12)
