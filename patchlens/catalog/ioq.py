@@ -73,7 +73,7 @@ def report_sections(spark, sf):
     means = PP.feature_means_by_class(PP.enriched(raw), ENRICHED_FEATURES)
     labels = ready.groupBy(F.col("label").cast("string").alias("k")).agg(F.count(F.lit(1)).alias("v"))
     top = A.top_projects(ready, 6)
-    return RP.report([RP.section(means, "feature_means_vuln", "feature", "vuln_mean", "ord"),
-                      RP.section(means, "feature_means_safe", "feature", "safe_mean", "ord"),
-                      RP.section(labels, "label_distribution", "k", "v"),
-                      RP.section(top, "top_projects", "project", "total")])
+    return RP.report([RP.Section("feature_means_vuln", means, "feature", "vuln_mean", ord="ord"),
+                      RP.Section("feature_means_safe", means, "feature", "safe_mean", ord="ord"),
+                      RP.Section("label_distribution", labels, "k", "v"),
+                      RP.Section("top_projects", top, "project", "total")]).select("section", "ord", "key", "value")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlens.session import scratch_path
+from patchlens.sources import ranged_csv
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -20,11 +21,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV with quoted multi-line fields; empty fields read as null."""
-    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
-    return df.select(*[F.when(F.col(f"`{f.name}`") == "", F.lit(None)).otherwise(F.col(f"`{f.name}`"))
-                       .alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
-                       for f in schema.fields])
+    """Header CSV with quoted multi-line fields; empty fields read as null. A file is read by as many tasks as it has ranges."""
+    return ranged_csv.read(spark, path, schema)
 
 
 def csv_round_trip(df: DataFrame, name: str = "csv") -> DataFrame:
@@ -36,12 +34,8 @@ def csv_round_trip(df: DataFrame, name: str = "csv") -> DataFrame:
 # S4
 def count_lines(spark: SparkSession, path: str) -> DataFrame:
     """Physical lines minus the header of every part file, next to the logical
-    row count (they differ when quoted fields hold line breaks)."""
-    per_file = spark.read.text(path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
-    logical = spark.read.options(**CSV_OPTIONS).csv(path).agg(F.count(F.lit(1))).scalar()
-    # one header line per part file
-    return per_file.agg((F.sum("n") - F.count(F.lit(1))).alias("physical_rows"),
-                        F.max(logical).alias("logical_rows"))
+    row count (they differ when quoted fields hold line breaks), in one scan."""
+    return ranged_csv.count(spark, path)
 
 
 # S6
