@@ -7,20 +7,15 @@ precision, the PR curve, the F1-optimal threshold) need, for every distinct
 score s, the positives and negatives scored >= s.  That is a prefix sum over
 the distinct scores in descending order, computed without a global window:
 
-1. aggregate rows to one row per distinct score (map-side combined);
-2. cut the distinct scores into ``n_buckets`` ranges at approximate
-   quantiles (one small aggregate, passed on as a scalar subquery);
-3. total each range (<= n_buckets rows), prefix-sum the totals (tiny);
-4. prefix-sum inside each range, partitioned by range, and add the range
-   offset.
-
-Every partition holds about 1/n_buckets of the distinct scores; the results are
-exact whatever the cut points are. Group totals come from the range totals too, so
-no step gathers a group's scores. A group with one class only has no ROC AUC (null);
+1. aggregate rows to one row per distinct score (map-side combined), stored;
+2. deal the distinct scores out by ranges, as many as their number asks for at ``RANGE_ROWS`` each;
+3. total each range, prefix-sum the totals (a row per range);
+4. prefix-sum inside each range, partitioned by range, and add the range's offset.
+
+The results are exact whatever the ranges are. Group totals come from the range totals too, so
+no step gathers a group's scores. Confusion counts at a threshold are sums over the distinct scores as well, so
+the scored rows are read once. A group with one class only has no ROC AUC (null);
 without positives its average precision is 0.
-
-Single values that parameterise a later step (totals, a tuned threshold)
-are scalar subqueries, not joins.
 """
 
 from __future__ import annotations
@@ -28,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+from patchlens.session import materialize
+
+#: Distinct scores of a range: a task sorts and sums one.
+RANGE_ROWS = 1 << 20
 
 
 def _pos(label: str) -> Column:
@@ -71,21 +69,27 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label", by:
             .agg(F.sum(_pos(label)).cast("long").alias("pos"), F.sum(_neg(label)).cast("long").alias("neg")))
 
 
-def cumulative_desc(counts: DataFrame, n_buckets: int = DEFAULT_BUCKETS, by: list[str] = ()) -> DataFrame:
-    """Per (group, distinct score s): pos, neg, tp = positives scored >= s, fp likewise."""
+def stored_counts(df: DataFrame, score: str = "score", label: str = "label", by: list[str] = ()) -> DataFrame:
+    """``score_counts`` as a table, all one range: what follows reads it several times, and its row count is in its footers."""
+    return materialize(score_counts(df, score, label, by).withColumn("_b", F.lit(0)))
+
+
+def ranged(counts: DataFrame, range_rows: int = RANGE_ROWS, by: list[str] = ()) -> DataFrame:
+    """Stored ``counts`` with ``_b``: the number of the range, rising from group to group and with falling scores."""
+    parts = -(-counts.count() // range_rows)
+    if parts <= 1:
+        return counts
+    # Stored, so that totals and rows come from the same ranges.
+    return materialize(counts.repartitionByRange(parts, *by, F.col("s").desc()).withColumn("_b", F.spark_partition_id()))
+
+
+def cumulative_desc(counts: DataFrame, range_rows: int = RANGE_ROWS, by: list[str] = ()) -> DataFrame:
+    """Per (group, distinct score s) of stored counts: pos, neg, tp = positives scored >= s, fp likewise, P and N of the group."""
     by = list(by)
-    if n_buckets <= 1:
-        bucketed = counts.withColumn("_b", F.lit(0).cast("long"))
-    else:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = counts.agg(F.percentile_approx("s", probs, 10000).alias("cuts")).scalar()
-        cuts = F.coalesce(cuts, F.array().cast("array<double>"))
-        # bucket = number of distinct cut points below s (no lambda: the cuts are a subquery)
-        merged = F.sort_array(F.array_union(cuts, F.array(F.col("s").cast("double"))))
-        bucketed = counts.withColumn("_b", F.array_position(merged, F.col("s").cast("double")) - 1)
-    totals = bucketed.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    group = Window.partitionBy(*by)                       # at most n_buckets rows per group
-    above = group.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged(counts, range_rows, by)
+    totals = rows.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    group = Window.partitionBy(*by)                       # a row per range
+    above = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(c).alias("_o_" + c) for c in by], F.col("_b").alias("_ob"),
                             F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),
                             F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_on"),
@@ -94,48 +98,50 @@ def cumulative_desc(counts: DataFrame, n_buckets: int = DEFAULT_BUCKETS, by: lis
     cond = F.col("_b") == F.col("_ob")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col("_o_" + c))
-    j = bucketed.join(offsets, cond)
+    j = rows.join(offsets, cond)
     return j.select(*by, "s", "pos", "neg",
                     (F.sum("pos").over(inside) + F.col("_op")).cast("long").alias("tp"),
                     (F.sum("neg").over(inside) + F.col("_on")).cast("long").alias("fp"), "P", "N")
 
 
+def _ranking(cum: DataFrame, by: list[str] = ()) -> DataFrame:
+    auc_term = F.col("pos") * (F.col("N") - F.col("fp") + 0.5 * F.col("neg"))
+    ap_term = F.when(F.col("P") > 0, (F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))).otherwise(0.0)
+    pairs = F.max(F.col("P") * F.col("N"))
+    return cum.groupBy(*by).agg(F.when(pairs > 0, F.sum(auc_term) / pairs).alias("auc"), F.sum(ap_term).alias("prauc"))
+
+
 # A15 / A16
 def ranking_metrics(df: DataFrame, score: str = "score", label: str = "label",
-                    n_buckets: int = DEFAULT_BUCKETS, by: list[str] = ()) -> DataFrame:
+                    range_rows: int = RANGE_ROWS, by: list[str] = ()) -> DataFrame:
     """ROC AUC (ties count half) and step-wise average precision, per group.
 
     Null with one class only (AUC); 0 without positives (average precision).
     """
-    cum = cumulative_desc(score_counts(df, score, label, list(by)), n_buckets, list(by))
-    auc_term = F.col("pos") * (F.col("N") - F.col("fp") + 0.5 * F.col("neg"))
-    ap_term = F.when(F.col("P") > 0, (F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))).otherwise(0.0)
-    pairs = F.max(F.col("P") * F.col("N"))
-    return cum.groupBy(*by).agg(F.when(pairs > 0, F.sum(auc_term) / pairs).alias("auc"), F.sum(ap_term).alias("prauc"))
+    return _ranking(cumulative_desc(stored_counts(df, score, label, by), range_rows, by), list(by))
 
 
-# A17
-def pr_curve(df: DataFrame, score: str = "score", label: str = "label",
-             n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Precision and recall at every distinct threshold, plus the (1, 0) end point."""
-    cum = cumulative_desc(score_counts(df, score, label), n_buckets)
+def _curve(cum: DataFrame) -> DataFrame:
     P = F.col("P")
     pts = cum.select(F.col("s").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                      F.when(P == 0, F.lit(1.0)).otherwise(F.col("tp") / P).alias("recall"))
-    end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
-                                          F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    end = cum.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
+                                           F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)
 
 
+# A17
+def pr_curve(df: DataFrame, score: str = "score", label: str = "label",
+             range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Precision and recall at every distinct threshold, plus the (1, 0) end point."""
+    return _curve(cumulative_desc(stored_counts(df, score, label), range_rows))
+
+
 def f1_of(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-# A18
-def best_threshold(df: DataFrame, score: str = "score", label: str = "label",
-                   n_buckets: int = DEFAULT_BUCKETS, default: float = 0.5) -> DataFrame:
-    """Threshold with the highest F1 on the PR curve; ties -> lowest threshold."""
-    curve = pr_curve(df, score, label, n_buckets)
+def _best(curve: DataFrame, default: float) -> DataFrame:
     scored = curve.select(F.coalesce("threshold", F.lit(default)).alias("threshold"),
                           f1_of(F.col("precision"), F.col("recall")).alias("f1"),
                           F.col("threshold").isNull().alias("_end"))
@@ -143,6 +149,28 @@ def best_threshold(df: DataFrame, score: str = "score", label: str = "label",
                  .limit(1).drop("_end")
 
 
+# A18
+def best_threshold(df: DataFrame, score: str = "score", label: str = "label",
+                   range_rows: int = RANGE_ROWS, default: float = 0.5) -> DataFrame:
+    """Threshold with the highest F1 on the PR curve; ties -> lowest threshold."""
+    return _best(pr_curve(df, score, label, range_rows), default)
+
+
+def _joined(cc: DataFrame, ranking: DataFrame, keys: list[str]) -> DataFrame:
+    rk = ranking.withColumnsRenamed({k: "_r_" + k for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_r_" + k))
+    return cc.join(rk, same).select(*keys, "threshold", "tp", "fp", "fn", "tn", *prf_columns(), "auc", "prauc")
+
+
+def _confusion(rows: DataFrame, keys: list[str], t: Column, p: Column, pos: Column, neg: Column) -> DataFrame:
+    def total(hit, n):
+        return F.sum(F.when(hit, n).otherwise(0)).cast("long")
+    return rows.groupBy(*keys).agg(F.max(t.cast("double")).alias("threshold"), total(p, pos).alias("tp"), total(p, neg).alias("fp"),
+                                   total(~p, pos).alias("fn"), total(~p, neg).alias("tn"))
+
+
 # A19
 def grouped_metrics(scores: DataFrame, by=(), threshold=0.5, score: str = "score",
                     label: str = "label", pred: Column | None = None) -> DataFrame:
@@ -153,25 +181,15 @@ def grouped_metrics(scores: DataFrame, by=(), threshold=0.5, score: str = "score
     """
     by = list(by)
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    p = pred if pred is not None else F.col(score) >= t
-    y = F.col(label) == 1
     keys = by or ["_g"]
     rows = scores if by else scores.withColumn("_g", F.lit(1))
-    cc = rows.groupBy(*keys).agg(F.max(t.cast("double")).alias("threshold"),
-                                 F.sum(F.when(p & y, 1).otherwise(0)).cast("long").alias("tp"),
-                                 F.sum(F.when(p & ~y, 1).otherwise(0)).cast("long").alias("fp"),
-                                 F.sum(F.when(~p & y, 1).otherwise(0)).cast("long").alias("fn"),
-                                 F.sum(F.when(~p & ~y, 1).otherwise(0)).cast("long").alias("tn"))
-    rk = ranking_metrics(rows, score, label, by=keys).withColumnsRenamed({k: "_r_" + k for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col("_r_" + k))
-    return cc.join(rk, same).select(*by, "threshold", "tp", "fp", "fn", "tn", *prf_columns(), "auc", "prauc")
-
-
-def metrics_at(df: DataFrame, threshold, kind: str, score="score", label="label") -> DataFrame:
-    """One metric row at a threshold (a number or a scalar Column)."""
-    return grouped_metrics(df, (), threshold, score, label).select(F.lit(kind).alias("kind"), "*")
+    counts = stored_counts(rows, score, label, keys)
+    if pred is None:
+        cc = _confusion(counts, keys, t, F.col("s") >= t, F.col("pos"), F.col("neg"))
+    else:
+        cc = _confusion(rows, keys, t, pred, _pos(label), _neg(label))
+    return _joined(cc, _ranking(cumulative_desc(counts, by=keys), keys), keys).select(*by, "threshold", "tp", "fp", "fn", "tn",
+                                                                                     "precision", "recall", "f1", "auc", "prauc")
 
 
 def metrics_at_thresholds(df: DataFrame, score="score", label="label", tune_on: DataFrame | None = None,
@@ -179,11 +197,16 @@ def metrics_at_thresholds(df: DataFrame, score="score", label="label", tune_on:
     """Metric rows at the default threshold and at the F1-tuned threshold.
 
     The threshold is tuned on ``tune_on`` (a validation frame) when given,
-    else on ``df`` itself.
+    else on ``df`` itself. The rows are read once: both confusions and the ranking come from the counts by score.
     """
-    tuned = best_threshold(tune_on if tune_on is not None else df, score, label).select("threshold").scalar()
-    return metrics_at(df, default, "default", score, label).unionByName(
-        metrics_at(df, tuned, "tuned", score, label))
+    counts = stored_counts(df.withColumn("_g", F.lit(1)), score, label, ["_g"])
+    cum = cumulative_desc(counts, by=["_g"])
+    curve = _curve(cum.drop("_g")) if tune_on is None else pr_curve(tune_on, score, label)
+    tuned = _best(curve, default).first()["threshold"]     # one row
+    ranking = _ranking(cum, ["_g"])
+    out = [_joined(_confusion(counts, ["_g"], F.lit(float(t)), F.col("s") >= t, F.col("pos"), F.col("neg")), ranking, ["_g"])
+           .drop("_g").select(F.lit(kind).alias("kind"), "*") for kind, t in (("default", default), ("tuned", tuned))]
+    return out[0].unionByName(out[1])
 
 
 # A20

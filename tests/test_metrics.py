@@ -37,8 +37,8 @@ def test_ranking_against_brute_force(spark):
     rows = [(round(rnd.random(), 2), int(rnd.random() < 0.3)) for _ in range(300)]
     df = spark.createDataFrame([(i, y, s) for i, (s, y) in enumerate(rows)], "row_id long, label int, score double")
     auc, ap, (f1, t) = _brute(rows)
-    for buckets in (1, 4, 64):
-        rk = M.ranking_metrics(df, n_buckets=buckets).first()
+    for range_rows in (1000, 30, 2):
+        rk = M.ranking_metrics(df, range_rows=range_rows).first()
         assert abs(rk["auc"] - auc) < 1e-9 and abs(rk["prauc"] - ap) < 1e-9
     bt = M.best_threshold(df).first()
     assert abs(bt["threshold"] - t) < 1e-12 and abs(bt["f1"] - f1) < 1e-9
@@ -51,3 +51,29 @@ def test_metrics_invariant_under_repartition(spark):
     a = M.metrics_at_thresholds(df).orderBy("kind").collect()
     b = M.metrics_at_thresholds(df.repartition(7, "score")).orderBy("kind").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_ranges_follow_the_number_of_scores(spark):
+    rnd = random.Random(11)
+    for n, most in ((400, 1), (4000, 4), (20000, 20)):
+        rows = [(rnd.random(), int(rnd.random() < 0.3)) for _ in range(n)]
+        df = spark.createDataFrame(rows, "score double, label int")
+        counts = M.stored_counts(df)
+        ranged = M.ranged(counts, 1000).groupBy("_b").agg(F.count("*").alias("n")).collect()
+        assert len(ranged) >= 0.9 * most and (most == 1 or max(r["n"] for r in ranged) < 3000)
+        cum = {r["s"]: (r["tp"], r["fp"]) for r in M.cumulative_desc(counts, 1000).collect()}
+        tp = fp = 0
+        for s, y in sorted(rows, reverse=True):
+            tp, fp = tp + y, fp + 1 - y
+            assert cum[s] == (tp, fp)
+
+
+def test_groups_have_their_own_sums(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice(["a", "b", None]), round(rnd.random(), 2), int(rnd.random() < 0.5)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    for range_rows in (1 << 20, 20):
+        got = {r["g"]: r for r in M.ranking_metrics(df, range_rows=range_rows, by=["g"]).collect()}
+        for g in ("a", "b", None):
+            auc, ap, _ = _brute([(s, y) for h, s, y in rows if h == g])
+            assert abs(got[g]["auc"] - auc) < 1e-9 and abs(got[g]["prauc"] - ap) < 1e-9
