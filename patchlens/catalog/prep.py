@@ -238,10 +238,11 @@ def dedup_keep_first(spark, sf):
     return W.dedup_keep_first(functions_raw(spark, sf), ["func_before", "vul"]).select("row_id", "vul")
 
 
-@register("shuffle_rows", PREP_CTES + f"SELECT row_id, {O.md5_key('row_id')} AS shuffle_key FROM ready")
+@register("shuffle_rows", PREP_CTES + f"SELECT row_id, {O.md5_key('row_id')} AS shuffle_key, "
+          f"row_number() OVER (ORDER BY {O.md5_key('row_id')}, row_id) AS shuffle_rank FROM ready", ints=("shuffle_rank",))
 def shuffle_rows(spark, sf):
-    """Seeded permutation of the ready table (hash order exposed)."""
-    return W.shuffle_rows(PP.ready(functions_raw(spark, sf))).select("row_id", "shuffle_key")
+    """Seeded permutation of the ready table: hash order and place."""
+    return W.shuffle_rows(PP.ready(functions_raw(spark, sf)).select("row_id")).select("row_id", "shuffle_key", "shuffle_rank")
 
 
 FUNNEL_SQL = LIMITED_CTES.rstrip() + f""",

@@ -104,13 +104,13 @@ def balanced_sample(spark, sf):
     return _balanced(spark, sf).select("row_id", "label", "shuffle_key")
 
 
-@register("stratified_split", BAL + f"""SELECT row_id, label,
+@register("stratified_split", BASE + f"""SELECT row_id, label,
   CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {O.md5_key('row_id')}, row_id)
             <= round(count(*) OVER (PARTITION BY label) * 0.15) THEN 'val' ELSE 'train' END AS part
-FROM balanced""")
+FROM labeled""")
 def stratified_split(spark, sf):
-    """15% validation rows per class of the balanced sample."""
-    return W.stratified_split(_balanced(spark, sf), 0.15).select("row_id", "label", "part")
+    """15% validation rows per class of the whole table."""
+    return W.stratified_split(_labeled(spark, sf), 0.15).select("row_id", "label", "part")
 
 
 @register("capped_sample", BASE + f"""SELECT row_id, label FROM split WHERE split = 'test'

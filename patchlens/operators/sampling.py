@@ -10,14 +10,11 @@ Scale notes
   bound, which Spark plans as a ``WindowGroupLimit`` *before* the exchange:
   every task keeps at most k rows per class, so a class holding most of the
   data never reaches one task whole.
-* Exact per-class ranks over the whole table (W6, W8, W4) are computed by
-  ``hash_rank``: md5 keys are uniform, so a fixed hex prefix splits every
-  class into ``16**digits`` even buckets; bucket sizes are counted with a
-  partial aggregate, turned into offsets over a tiny table, and rows are
-  ranked inside (class, bucket) partitions.  No partition holds a whole
-  class.
-* Keep-first deduplication (W2) is one aggregate (``min_by`` of the row by
-  its order key per duplicate group, map-side combined); a group of copies
+* Exact per-class ranks over the whole table (W3, W6, W8, W4) are computed by
+  ``hash_rank``: a histogram of key prefixes, as fine as keeps each within a bound of rows, is
+  turned into offsets, and rows are ranked inside (class, prefix) partitions.
+* Keep-first deduplication (W2) groups digests and order keys, three numbers a
+  row; texts are neither sorted nor grouped, and a group of copies
   holding a third of the rows collapses to one row per task before the
   shuffle.
 """
@@ -29,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchlens.session import materialize
+
 DEFAULT_SEED = 42
 NULL_TOKEN = "\u0000null"
 
@@ -45,17 +44,32 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]):
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
-def hash_rank(df: DataFrame, key: str, by: list[str] = (), tie: str | None = None,
-              digits: int = 3, out: str = "rank") -> DataFrame:
-    """Exact ``row_number() over (partition by <by> order by <key>, <tie>)``.
+#: Rows of one hash range that a task ranks.
+RANK_ROWS = 1 << 20
+
+
+def _prefix_sizes(keys: DataFrame, key: str, by: list[str], rank_rows: int) -> tuple[DataFrame, int]:
+    """(*by, _bucket, _n): rows per key prefix, stored, and the prefixes' length.
 
-    ``key`` must be a hex hash column (uniform prefix).  See module notes.
+    No prefix at all if every class is within ``rank_rows``; otherwise the histogram gets finer as long as a prefix
+    has more rows than that and two more digits part them (equal keys are never parted).
     """
-    by = list(by)
+    digits, most = 3, None
+    while True:
+        sizes = materialize(keys.groupBy(*by, F.substring(key, 1, digits).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")))
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
+        if largest <= rank_rows or largest == most or digits > 30:
+            break
+        digits, most = digits + 2, largest
+    whole = sizes.groupBy(*by).agg(F.sum("_n").alias("_n")).withColumn("_bucket", F.lit(""))
+    if (whole.agg(F.max("_n")).first()[0] or 0) <= rank_rows:
+        return whole, 0
+    return sizes, digits
+
+
+def _ranked(df: DataFrame, key: str, by: list[str], tie: str | None, sizes: DataFrame, digits: int, out: str) -> DataFrame:
     order = [F.col(key)] + ([F.col(tie)] if tie else [])
-    b = F.substring(F.col(key), 1, digits)
-    with_b = df.withColumn("_bucket", b)
-    sizes = with_b.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    with_b = df.withColumn("_bucket", F.substring(F.col(key), 1, digits))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     offsets = offsets.select(*[F.col(c).alias("_o_" + c) for c in by], F.col("_bucket").alias("_o_bucket"),
@@ -69,6 +83,17 @@ def hash_rank(df: DataFrame, key: str, by: list[str] = (), tie: str | None = Non
             .drop("_bucket", "_o_bucket", "_offset", *["_o_" + c for c in by]))
 
 
+def hash_rank(df: DataFrame, key: str, by: list[str] = (), tie: str | None = None,
+              rank_rows: int = RANK_ROWS, out: str = "rank") -> DataFrame:
+    """Exact ``row_number() over (partition by <by> order by <key>, <tie>)``.
+
+    ``key`` must be a hex hash column: a task ranks the rows of one prefix, at most ``rank_rows`` unless more share a key.
+    """
+    by = list(by)
+    sizes, digits = _prefix_sizes(df, key, by, rank_rows)
+    return _ranked(df, key, by, tie, sizes, digits, out)
+
+
 def first_keys(df: DataFrame, limits: dict, label: str, order: str, spread: int = 256) -> DataFrame:
     """(label, order) of the first ``limits[c]`` rows of each class ``c``; ``order`` must be unique.
 
@@ -102,26 +127,48 @@ def quota_cutoffs(df: DataFrame, quotas: dict, label: str = "label", order: str
             .groupBy(label).agg(F.count(F.lit(1)).alias("collected"), F.max(order).alias("last_" + order)))
 
 
+def _salted(keys: list[str], salt: int) -> Column:
+    """xxhash64 of the columns and of which of them are null."""
+    return F.xxhash64(F.lit(salt), *[x for k in keys for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))])
+
+
+def digest128(keys: list[str]) -> list[Column]:
+    return [_salted(keys, 1), _salted(keys, 2)]
+
+
 # W2
-def dedup_keep_first(df: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
-    """Drop rows whose ``keys`` repeat an earlier row (by ``order``, unique).
+def dedup_keep_first(df: DataFrame, keys: list[str], order: str = "row_id", digest=digest128) -> DataFrame:
+    """Drop rows whose ``keys`` repeat an earlier row (by ``order``, unique); null keys are equal.
 
-    One aggregation: per duplicate group the row with the smallest ``order``
-    (``min_by`` over the other columns), combined map-side, so a group of
-    copies holding a large share of the rows shrinks to one row per task
-    before the shuffle, and the input is read once.
+    Rows are told apart by a 128-bit digest of their keys and a further 64-bit one as a check: only ``order`` and these
+    numbers are stored and grouped. In a group whose check differs the digests have collided; its rows, and no others, are grouped by
+    the keys themselves (``digest`` gives columns without nulls). The rows to drop are a stored table, so the last step knows its size: it is broadcast if small, and ``df``
+    itself is filtered in place; beyond that one join on ``order`` deals ``df`` out evenly, however large a group of copies is.
     """
-    others = [c for c in df.columns if c not in keys]
-    kept = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(order)).alias("_first"))
-    return kept.select(*[F.col(f"`{k}`") for k in keys], "_first.*").select(*[F.col(f"`{c}`") for c in df.columns])
+    marks = materialize(df.select(F.col(f"`{order}`").alias("_o"), *[c.alias(f"_d{i}") for i, c in enumerate(digest(keys))],
+                                  _salted(keys, 3).alias("_check")))
+    parts = [c for c in marks.columns if c.startswith("_d")]
+    groups = materialize(marks.groupBy(*parts).agg(
+        F.count("*").alias("_n"), F.min("_o").alias("_first"), (F.min("_check") != F.max("_check")).alias("_clash")).where("_n > 1"))
+    dropped = marks.join(groups.where("not _clash"), parts).where(F.col("_o") > F.col("_first")).select("_o")
+    clashes = groups.where("_clash").select(*parts)
+    if not clashes.isEmpty():
+        named = df.select(F.col(f"`{order}`").alias("_o"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)])
+        ids = marks.join(clashes, parts).select("_o")
+        rows = materialize(named.join(ids, "_o"))
+        cols = [c for c in rows.columns if c.startswith("_k")]
+        exact = rows.groupBy(*cols).agg(F.min("_o").alias("_first"))
+        first = exact.select(F.col("_first").alias("_o"))
+        dropped = dropped.unionByName(rows.select("_o").join(first, "_o", "left_anti"))
+    gone = materialize(dropped)
+    return df.join(gone, F.col(f"`{order}`") == F.col("_o"), "left_anti")
 
 
 # W3
 def shuffle_rows(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "row_id",
-                 out: str = "shuffle_key") -> DataFrame:
-    """Whole-table permutation: rows ordered by a seeded hash of the id."""
-    return df.withColumn(out, hash_key(id_col, seed)).orderBy(out)
+                 out: str = "shuffle_key", rank: str = "shuffle_rank") -> DataFrame:
+    """Whole-table permutation: rows with a seeded hash of the id and their place in its order (from 1)."""
+    return hash_rank(df.withColumn(out, hash_key(id_col, seed)), out, tie=id_col, out=rank)
 
 
 # W4
@@ -133,7 +180,8 @@ def last_test_key(df: DataFrame, test_frac: float = 0.25, seed: int = DEFAULT_SE
     projects = df.select(hash_key(col, seed).alias("_pkey")).distinct()
     n = projects.agg(F.count(F.lit(1))).scalar()
     n_test = F.greatest(F.lit(1), F.floor(n * F.lit(test_frac))).cast("long")
-    ranked = hash_rank(projects, "_pkey", out="_prank", digits=2)
+    sizes = projects.groupBy(F.substring("_pkey", 1, 2).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = _ranked(projects, "_pkey", [], None, sizes, 2, "_prank")
     return ranked.agg(F.max(F.when(F.col("_prank") <= n_test, F.col("_pkey")))).scalar()
 
 
@@ -186,21 +234,21 @@ def balanced_sample(df: DataFrame, per_class: int = 2500, seed: int = DEFAULT_SE
 
 # W6
 def stratified_split(df: DataFrame, frac: float = 0.15, seed: int = DEFAULT_SEED,
-                     label: str = "label", id_col: str = "row_id", digits: int = 3) -> DataFrame:
+                     label: str = "label", id_col: str = "row_id", rank_rows: int = RANK_ROWS) -> DataFrame:
     """Adds ``part`` = 'val' for ``round(frac * n_c)`` hash-chosen rows per class.
 
     Counts by key prefix tell in which prefix a class's last 'val' key lies; only that prefix's keys are
     ranked. Rows compare their key with the class's cut (one row per class).
     """
-    keys = df.select(F.col(label).alias("_l"), hash_key(id_col, seed).alias("_k")).withColumn("_b", F.substring("_k", 1, digits))
-    sizes = keys.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    keys = df.select(F.col(label).alias("_l"), hash_key(id_col, seed).alias("_k"))
+    sizes, digits = _prefix_sizes(keys, "_k", ["_l"], rank_rows)
     group = Window.partitionBy("_l")
-    upto = F.sum("_n").over(group.orderBy("_b"))
+    upto = F.sum("_n").over(group.orderBy("_bucket"))
     want = F.round(F.sum("_n").over(group) * F.lit(frac))
-    hit = sizes.select("_l", "_b", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), want.alias("_want")) \
+    hit = sizes.select("_l", "_bucket", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), want.alias("_want")) \
         .where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_upto"))) \
-        .withColumnsRenamed({"_l": "_hl", "_b": "_hb"})
-    near = keys.join(hit, F.col("_l").eqNullSafe(F.col("_hl")) & (F.col("_b") == F.col("_hb")))
+        .withColumnsRenamed({"_l": "_hl", "_bucket": "_hb"})
+    near = keys.join(hit, F.col("_l").eqNullSafe(F.col("_hl")) & (F.substring("_k", 1, digits) == F.col("_hb")))
     rank = F.row_number().over(Window.partitionBy("_l").orderBy("_k")) + F.col("_before")
     cut = near.withColumn("_r", rank).where(F.col("_r") == F.col("_want")).select(F.col("_l").alias("_cl"), F.col("_k").alias("_cut"))
     marked = df.join(cut, F.col(label).eqNullSafe(F.col("_cl")), "left")

@@ -12,10 +12,38 @@ def _rows(spark, n=2000):
 
 def test_hash_rank_equals_row_number(spark):
     df = _rows(spark).withColumn("k", W.hash_key("row_id"))
-    got = W.hash_rank(df, "k", by=["label"], tie="row_id", out="r", digits=2)
-    want = df.withColumn("r2", F.row_number().over(Window.partitionBy("label").orderBy("k", "row_id")))
-    j = got.join(want, "row_id")
-    assert j.filter(F.col("r") != F.col("r2")).count() == 0
+    want = df.withColumn("r2", F.row_number().over(Window.partitionBy("label").orderBy("k", "row_id"))).select("row_id", "r2")
+    for bound in (1 << 20, 400, 1):
+        got = W.hash_rank(df, "k", by=["label"], tie="row_id", out="r", rank_rows=bound).join(want, "row_id")
+        assert got.filter(F.col("r") == F.col("r2")).count() == 2000
+
+
+def test_prefixes_get_finer_until_they_are_within_the_bound(spark):
+    df = _rows(spark).withColumn("k", W.hash_key("row_id"))
+    for bound in (5000, 100, 3, 1):
+        sizes, digits = W._prefix_sizes(df, "k", ["label"], bound)
+        assert sizes.agg(F.max("_n")).first()[0] <= bound and (digits == 0) == (bound >= 2000)
+        assert sizes.agg(F.sum("_n")).first()[0] == 2000
+    same = df.withColumn("k", F.md5(F.lit("x")))  # equal keys can't be parted, and don't loop
+    assert W._prefix_sizes(same, "k", [], 10)[0].agg(F.max("_n")).first()[0] == 2000
+    assert W.hash_rank(same, "k", tie="row_id", rank_rows=10).where("rank = row_id + 1").count() == 2000
+    assert W.hash_rank(df.limit(0), "k").collect() == []
+
+
+def test_shuffle_is_a_permutation_with_ranks(spark):
+    got = W.shuffle_rows(_rows(spark, 700)).orderBy("shuffle_rank").collect()
+    assert [r["shuffle_rank"] for r in got] == list(range(1, 701)) and [r["shuffle_key"] for r in got] == sorted(r["shuffle_key"] for r in got)
+    assert [r["row_id"] for r in got] != list(range(700))
+
+
+def test_stratified_split_of_the_whole_table(spark):
+    df = _rows(spark)
+    want = {0: round(1333 * 0.15), 1: round(667 * 0.15)}
+    for bound in (1 << 20, 50):
+        got = W.stratified_split(df, 0.15, rank_rows=bound)
+        assert got.count() == 2000
+        val = {r["label"]: r["n"] for r in got.where("part = 'val'").groupBy("label").agg(F.count("*").alias("n")).collect()}
+        assert val == want
 
 
 def test_folds_partition_rows_and_keep_shares(spark):
@@ -45,6 +73,27 @@ def test_dedup_keep_first(spark):
     assert got == [1, 3, 4]
 
 
+def test_dedup_groups_numbers_only(spark):
+    rows = spark.range(5000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 1700)).alias("text"),
+                                    F.lit(1).alias("label"), F.lit("wide").alias("other"))
+    out = W.dedup_keep_first(rows, ["text", "label"])
+    assert out.columns == rows.columns and out.count() == rows.select("text").distinct().count()
+    want = {r["text"]: r["m"] for r in rows.groupBy("text").agg(F.min("row_id").alias("m")).collect()}
+    assert {r["text"]: r["row_id"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_a_digest_collision_keeps_both_rows(spark):
+    rows = spark.createDataFrame([(1, "ab", 0), (2, "cd", 0), (3, "ab", 0), (4, "xyz", 0), (5, "xyz", 0), (6, None, 0), (7, "", 0), (8, None, 0), (9, "cd", 1)],
+                                 "row_id long, text string, label int")
+    weak = lambda keys: [F.coalesce(F.length("text"), F.lit(-1))]
+    for digest in (weak, lambda keys: [F.lit(1)], W.digest128):
+        got = sorted(r[0] for r in W.dedup_keep_first(rows, ["text", "label"], digest=digest).select("row_id").collect())
+        assert got == [1, 2, 4, 6, 7, 9]
+    assert W.dedup_keep_first(rows.limit(0), ["text", "label"]).collect() == []
+
+
 def test_quota_per_class(spark):
     df = _rows(spark, 500)
     q = W.quota_per_class(df, {1: 10, 0: 20})
