@@ -211,13 +211,26 @@ def score_text(docs: DataFrame, vocab: DataFrame, model, params: TF.TfidfParams)
 
 
 def text_cross_validate(train: DataFrame, params: TF.TfidfParams, k: int = 5) -> DataFrame:
-    """F1 of each of k stratified folds; vocabulary and model are fitted anew without the fold."""
-    folded = materialize(stratified_kfold(train, k))
+    """F1 of each of k stratified folds; vocabulary and model are fitted without the fold.
+
+    The texts are tokenised once: all folds' vocabularies come from one aggregate, and their vectors from the same stored counts.
+    """
+    folded = materialize(stratified_kfold(train, k).select("row_id", "text", "label", "fold"))
+    tc = materialize(TF.term_counts(folded, params, keep=("fold",)))
+    rows = folded.select("row_id", "label", "fold")
+    vocabularies = TF.fold_vocabularies(tc, rows, params, k)
+
+    def vectors(f, mine):
+        long = TF.transform(tc.filter(mine).drop("fold"), vocab[f])
+        return TF.to_sparse(rows.filter(mine), long, params.max_features)
+
+    vocab = [materialize(v) for v in vocabularies]
 
     def one(f):
-        vocab, model = fit_text_model(folded.filter(F.col("fold") != f), params)
-        scored = score_text(folded.filter(F.col("fold") == f), vocab, model, params)
-        return f, M.grouped_metrics(scored, (), 0.5, "prob", pred=F.col("pred") == 1).first()["f1"]
+        out = F.col("fold") != f
+        fitted = materialize(balanced_weights(vectors(f, out)))
+        model = logreg(weight_sum(fitted)).fit(fitted)
+        return f, M.grouped_metrics(score(model, vectors(f, ~out)), (), 0.5, "prob", pred=F.col("pred") == 1).first()["f1"]
     spark = train.sparkSession
     return spark.createDataFrame(_in_parallel(spark, [partial(one, f) for f in range(k)]), "fold int, f1 double")
 
