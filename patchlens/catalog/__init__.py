@@ -78,4 +78,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-MODULES = ["prep", "textq", "commits", "profileq", "splitsq", "metricsq", "resultsq", "tfidfq", "explainq", "modelsq", "ioq"]
+MODULES = ["prep", "textq", "commits", "profileq", "splitsq", "metricsq", "resultsq", "tfidfq", "explainq", "modelsq", "ioq", "reportsq"]

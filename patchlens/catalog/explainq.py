@@ -14,6 +14,7 @@ from patchlens.functions.enrich import enrich_all
 from patchlens.operators import explain as X
 from patchlens.operators import ml as ML
 from patchlens.operators import sampling as W
+from patchlens.session import materialize
 from patchlens.sources.fixtures import functions_raw
 
 # The explained model's inputs: the structural + complexity set.
@@ -24,26 +25,24 @@ INTERCEPT = -0.25
 
 
 def _wide(spark, sf):
+    """All rows' features with their part, stored once: the scaler and the explained rows read it."""
     raw = functions_raw(spark, sf)
     df = raw.select("row_id", "project", F.col("vul").alias("label"), "func_before",
                     T.clean_patch(F.coalesce(F.col("patch"), F.lit(""))).alias("diff"))
     en = enrich_all(df, keep_raw_counts=False)
-    return W.project_wise_split(en).select("row_id", "label", "split",
-                                           *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    return materialize(W.project_wise_split(en).select("row_id", "label", "split",
+                                                       *[F.col(f).cast("double").alias(f) for f in FEATURES]))
 
 
 def _scaled(spark, sf):
-    """(test rows with their scaled features, the scaler, the train rows)."""
     wide = _wide(spark, sf)
-    train = wide.where("split = 'train'")
-    stats = X.scaler_stats(train, FEATURES)
-    return X.standard_scale(wide.where("split = 'test'"), FEATURES, stats), stats, train
+    stats = X.scaler_stats(wide.where("split = 'train'"), FEATURES)
+    return X.standard_scale(wide.where("split = 'test'"), FEATURES, stats)
 
 
 def _shap(spark, sf):
-    scaled, stats, train = _scaled(spark, sf)
-    return X.linear_shap(scaled, FEATURES, dict(zip(FEATURES, COEFS)),
-                         X.background_means(train, FEATURES, stats), INTERCEPT)
+    # The background is the train rows, whose scaled means are 0.
+    return X.linear_shap(_scaled(spark, sf), FEATURES, dict(zip(FEATURES, COEFS)), dict.fromkeys(FEATURES, 0.0), INTERCEPT)
 
 
 _coef_rows = ", ".join(f"('{f}', {c})" for f, c in zip(FEATURES, COEFS))
@@ -79,7 +78,7 @@ shap_long AS (SELECT j.row_id, j.feature, j.scaled, j.phi, j.label, 1.0 / (1.0 +
           doubles=("value", "scaled"))
 def standard_scale(spark, sf):
     """M2: (x - train mean) / train population std on test rows; constant -> 0."""
-    return X.unpivoted(_scaled(spark, sf)[0], ["row_id"], "scaled")
+    return X.unpivoted(_scaled(spark, sf), ["row_id"], "scaled")
 
 
 @register("linear_shap", BASE + "SELECT row_id, feature, scaled, phi, label, score, base_value FROM shap_long",

@@ -1,10 +1,10 @@
 """Explanations.
 
 A row stays one row: its features are an array of (feature, value, ...) structs
-built from the wide columns, and the scaler's statistics are scalars of one
-aggregate. Scaling, Shapley values, margin and score are expressions on that row, and
+built from the wide columns, and the scaler's statistics are numbers, fetched as the one row
+that they are. Scaling, Shapley values, margin and score are expressions on that row, and
 a ranking of its features is a sort of the array: no join and no shuffle.
-The long form, one row per feature, is an ``inline`` at the end.
+The long form, one row per feature, is an ``inline`` at the end. The exact values of forests are in ``trees``.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scaler_stats(train: DataFrame, features: list[str]) -> dict[str, tuple[Column, Column]]:
-    """feature -> (mean, population std) of ``train``, as scalars of a one-row aggregate."""
-    one = train.agg(F.struct(*[x for f in features for x in (
-        F.avg(f).alias("m_" + f), F.stddev_pop(f).alias("s_" + f))]).alias("s")).scalar()
-    return {f: (one["m_" + f], one["s_" + f]) for f in features}
+def scaler_stats(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """feature -> (mean, population std) of ``train``, nulls left out; a feature without values is constant."""
+    row = train.agg(*[x for f in features for x in (F.avg(f).alias("m_" + f), F.stddev_pop(f).alias("s_" + f))]).first()
+    return {f: (row["m_" + f] or 0.0, row["s_" + f] or 0.0) for f in features}
 
 
 # M2
@@ -28,14 +27,14 @@ def standard_scale(df: DataFrame, features: list[str], stats: dict, out: str = "
     def one(f):
         mean, std = stats[f]
         return F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
-                        F.when(std == 0, F.lit(0.0)).otherwise((F.col(f) - mean) / std).alias("scaled"))
+                        ((F.col(f) - F.lit(mean)) / F.lit(std) if std else F.lit(0.0)).alias("scaled"))
     return df.withColumn(out, F.array(*[one(f) for f in features]))
 
 
-def background_means(background: DataFrame, features: list[str], stats: dict) -> dict[str, Column]:
-    """feature -> mean of the scaled background: the scaling is linear, so it is the scaled mean."""
+def background_means(background: DataFrame, features: list[str], stats: dict) -> dict[str, float]:
+    """feature -> mean of the scaled background: the scaling is linear, so it is the scaled mean (0 for the scaler's own rows)."""
     means = scaler_stats(background, features)
-    return {f: F.when(stats[f][1] == 0, F.lit(0.0)).otherwise((means[f][0] - stats[f][0]) / stats[f][1]) for f in features}
+    return {f: (means[f][0] - stats[f][0]) / stats[f][1] if stats[f][1] else 0.0 for f in features}
 
 
 # M13
@@ -47,11 +46,11 @@ def linear_shap(scaled: DataFrame, features: list[str], coefs: dict, background:
     """
     at = {f: F.col(column)[i]["scaled"] for i, f in enumerate(features)}
     phi = F.array(*[F.struct(F.lit(f).alias("feature"), at[f].alias("scaled"),
-                             (F.lit(float(coefs[f])) * (at[f] - background[f])).alias("phi")) for f in features])
+                             (F.lit(float(coefs[f])) * (at[f] - F.lit(background[f]))).alias("phi")) for f in features])
     start = F.lit(float(intercept))
     margin = reduce(lambda x, f: x + F.lit(float(coefs[f])) * at[f], features, start)
-    base = reduce(lambda x, f: x + F.lit(float(coefs[f])) * background[f], features, start)
-    out = scaled.withColumns({"phi": phi, "margin": margin, "base_value": base})
+    base = sum((float(coefs[f]) * background[f] for f in features), float(intercept))
+    out = scaled.withColumns({"phi": phi, "margin": margin, "base_value": F.lit(base)})
     return out.withColumn("score", 1.0 / (1.0 + F.exp(-F.col("margin"))))
 
 

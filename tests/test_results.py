@@ -58,3 +58,47 @@ def test_no_step_gathers_a_groups_scores(spark):
     windows = [x for x in plan.splitlines() if "Window [" in x]
     # Windows over scores are dealt out by group and range; only range totals are dealt by group alone.
     assert windows and all("_b#" in x if "(pos#" in x else "_bp#" in x for x in windows)
+
+
+ROWS = [("1-a", "x", "m", 0.5, 0.6, None, 0.7, 0.8), ("2-b", "y", "m", 0.1, 0.2, 0.3, 0.4, 0.5), ("2-b", "z", "m", None, None, None, None, None),
+        ("3-c", "y", "m", 0.9, 0.9, 0.9, 0.9, 0.9), ("4-d", None, "m", 0.0, 0.0, 0.0, 0.0, 0.0)]
+
+
+def files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_stored_update_touches_its_stages_only_and_can_be_repeated(spark, tmp_path):
+    path = tmp_path / "results"
+    R.store_results(spark.createDataFrame(ROWS, R.RESULT_SCHEMA), str(path))
+    before = files(path)
+    assert sorted(map(tuple, R.stored_results(spark, str(path)).collect()), key=repr) == sorted(ROWS, key=repr)
+    new = spark.createDataFrame([("z", 0.11, 0.12, 0.13, 0.14, 0.15), ("nowhere", 1.0, 1.0, 1.0, 1.0, 1.0)], "approach string, f1 double, auc double, prauc double, recall double, precision double")
+    want = sorted([r if r[1] != "z" else ("2-b", "z", "m", 0.11, 0.12, 0.13, 0.14, 0.15) for r in ROWS], key=repr)
+    for _ in range(2):
+        assert R.update_stored(spark, str(path), new) == ["2-b"]
+        assert sorted(map(tuple, R.stored_results(spark, str(path)).collect()), key=repr) == want
+        after = files(path)
+        assert {f: t for f, t in after.items() if "stage=2-b" not in f} == {f: t for f, t in before.items() if "stage=2-b" not in f}
+    assert R.update_stored(spark, str(path), new.where("approach = 'nowhere'")) == [] and files(path) == after
+    twice = new.unionByName(new)
+    try:
+        R.update_stored(spark, str(path), twice)
+        raise AssertionError("two updates for one key")
+    except Exception as e:  # noqa: BLE001
+        assert "more than one update" in str(e)
+    assert files(path) == after  # nothing is replaced before all new rows are there
+
+
+def test_reports_come_out_in_order(spark, tmp_path):
+    from patchlens.sources import report as RP
+    rows = spark.createDataFrame([(i, f"k{i % 7}{i}", i / 3, f"t{i}") for i in range(200)], "o int, k string, v double, t string").repartition(9)
+    sections = [RP.Section("numbers", rows, "k", "v", ord="o", places=2), RP.Section("names", rows.where("o < 20"), "k", text="t", ord="o"),
+                RP.facts("facts", rows.agg(F.max("v").alias("a"), F.count("*").alias("n")), {"n": "rows", "a": "largest"}, places=0)]
+    want = [f"numbers | k{i % 7}{i} | {i / 3:.2f}" for i in range(200)] + [f"names | k{i % 7}{i} | t{i}" for i in range(20)] + ["facts | rows | 200", "facts | largest | 66"]
+    for parts in (1, 4, None):
+        RP.render(sections, str(tmp_path / "r"), parts)
+        text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+        assert text.splitlines() == want
+        if parts == 4:
+            assert len(list((tmp_path / "r").glob("part-*"))) > 1
