@@ -76,7 +76,7 @@ def format_conversations(turns: DataFrame, template: Template = CHAT) -> DataFra
     valid: the turn order follows the machine and ends in a final state; bad_turn: the first turn without a move.
     Invalid conversations are formatted all the same. Null texts and roles count as empty.
     Turns that share a number are ordered by role, then text; a null number comes first;
-    a null conv_id is a conversation like any other. A conversation is one sequence and so one row: its
+    a null conv_id is a conversation like any other; an empty table gives no rows. A conversation is one sequence and so one row: its
     turns meet in one task, whose size the longest conversation sets.
     """
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -118,5 +118,10 @@ def loss_text(segments: Column) -> Column:
     return F.array_join(F.transform(kept, lambda s: unescape(s["text"])), "")
 
 
+def loss_of(turns: Column, template: Template = CHAT) -> Column:
+    """All text under the loss mask of turns that were read back, nothing between."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"].isin(*template.loss)), lambda t: t["text"]), "")
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"

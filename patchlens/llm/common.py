@@ -12,9 +12,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlens.llm.terms import coded, runs
 from patchlens.session import shared_dir
 
 #: Bytes of text that one vectorised step works on; numpy needs about 60 bytes for each.
@@ -117,18 +119,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def range_hash(values: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Polynomial hash of values[start:stop] for every range, by prefix sums modulo 2**64."""
-    n = len(values)
-    up, down = _powers(n + 1, base)
-    with np.errstate(over="ignore"):
-        g = np.zeros(n + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * down[:n], out=g[1:])
-        return mix64((g[stop] - g[start]) * up[start] + (stop - start).astype(np.uint64))
-
-
 def gram_hash(values: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
-    """Hash of every run of k consecutive values."""
+    """Hash of every run of k consecutive values.
+
+    A polynomial modulo 2**64, so long runs of two values in certain orders can meet: of bytes it is for candidates that are compared
+    themselves, of hashed words for windows of far fewer than 1,024 words.
+    """
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -149,27 +145,22 @@ def sliding(op, x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def word_bounds(buf: np.ndarray, off: np.ndarray):
-    """Start and end of every word ``[^\\x20\\x09-\\x0D]+``, and the number of words before each row."""
-    n = len(buf)
+def word_lanes(buf: np.ndarray, off: np.ndarray):
+    """Words ``[^\\x20\\x09-\\x0D]+``: two 64-bit hashes of each (the halves of its XXH3-128), the number of words before each row, starts and ends.
+
+    Only the distinct words are hashed, as they are: no arithmetic on bytes in which two words of one pattern might meet.
+    """
     inside = ~SPACE[buf]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    cut = off[:-1][off[:-1] < n]
-    first[cut] = inside[cut]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    ends = off[1:][off[1:] > 0] - 1
-    last[ends] = inside[ends]
-    start = np.flatnonzero(first)
-    stop = np.flatnonzero(last) + 1
-    return start, stop, np.searchsorted(start, off)
+    start, stop, rows = runs(inside, off)
+    codes, names = coded(buf, inside, start, stop)
+    lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names.to_pylist())), ">u8").reshape(-1, 2).astype(np.uint64)
+    return lanes[codes, 0], lanes[codes, 1], rows, start, stop
 
 
 def word_hashes(buf: np.ndarray, off: np.ndarray):
-    """64-bit hash of every word, and the number of words before each row."""
-    start, stop, rows = word_bounds(buf, off)
-    return range_hash(buf, start, stop), rows, start, stop
+    """64-bit hash of every word, the number of words before each row, starts and ends."""
+    one, _, rows, start, stop = word_lanes(buf, off)
+    return one, rows, start, stop
 
 
 def sha_hex(data: bytes) -> str:

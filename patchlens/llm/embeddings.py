@@ -15,6 +15,7 @@ read the cell's candidates as a stream, so a task holds one block of queries and
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 from itertools import product
 from math import comb, erf, sqrt
 
@@ -41,6 +42,7 @@ def calibrate(recall: float, projections: int = PROJECTIONS - SORTED, deviations
     return projections
 
 
+@lru_cache(8)
 def directions(dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, PROJECTIONS))
 
@@ -54,10 +56,12 @@ def _prepared(vectors: DataFrame, width: float, seed: int) -> DataFrame:
                 row = (None,) * 6
                 if label is not None and values and None not in values:
                     v = np.array(values, np.float64) + 0.0  # minus zero is zero
-                    norm = sqrt(float(v @ v)) if np.isfinite(v).all() else 0.0
-                    if norm > 0 and np.isfinite(norm):
-                        at = (v / norm) @ directions(len(v), seed)
+                    top = float(np.abs(v).max())
+                    if 0 < top < np.inf:  # neither zero nor non-finite (nan compares false)
                         key = hashlib.sha256(label.to_bytes(8, "little", signed=True) + v.tobytes()).digest()[:16]
+                        # By a power of two to components of at most 1: squares neither vanish nor overflow, cosines stay the same.
+                        v = np.ldexp(v, -int(np.frexp(top)[1]))
+                        at = (v / sqrt(float(v @ v))) @ directions(len(v), seed)
                         row = (key, label, len(v), v.tobytes(), at.tobytes(), np.floor(at[:SORTED] / width).astype(int).tolist())
                 for column, value in zip(out, row):
                     column.append(value)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from patchlens.llm.common import SPACE, bounded_batches, gram_hash, range_hash, string_parts, word_hashes
+from patchlens.llm.common import SPACE, bounded_batches, gram_hash, string_parts, word_hashes
+from patchlens.llm.terms import coded, runs
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper_words")
 WINDOW = 5  # words
@@ -79,14 +80,13 @@ def measure_part(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     shout = (_between(_UPPER[buf], start, stop) > 0) & (_between(_LOWER[buf], start, stop) == 0)
     out["n_upper_words"] = _between(shout, rows[:-1], rows[1:])
     # Lines: between newlines and row ends.
-    breaks = np.flatnonzero(buf == 10)
-    line_start = np.sort(np.concatenate([off[:-1], breaks + 1]), kind="stable")
-    line_stop = np.sort(np.concatenate([off[1:], breaks]), kind="stable")
-    doc = np.searchsorted(off, line_start, side="right") - 1
-    full = (line_stop > line_start) & (_between(solid, line_start, np.maximum(line_stop, line_start)) > 0)
-    line_start, line_stop, doc = line_start[full], line_stop[full], doc[full]
-    _, same = _repeated(doc, range_hash(buf, line_start, line_stop))
-    order = np.argsort(doc, kind="stable")  # both are by document first
+    inside = buf != 10
+    line_start, line_stop, line_rows = runs(inside, off)
+    number, _ = coded(buf, inside, line_start, line_stop)  # equal lines have one number
+    doc = np.repeat(np.arange(n), np.diff(line_rows))
+    full = _between(solid, line_start, line_stop) > 0
+    number, doc = number[full], doc[full]
+    order, same = _repeated(doc, number)
     out["n_lines"] = np.bincount(doc, minlength=n)
     out["n_dup_lines"] = np.bincount(doc[order][same], minlength=n)
     # Windows of words inside one document that are found again in it.
@@ -130,7 +130,10 @@ def measured(docs: DataFrame, *, text: str = "text", prefix: str = "") -> DataFr
 
 
 def ledger(docs: DataFrame, *, text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, the measurements and ``failed``: bit i is set if rule i of RULES fails."""
+    """``keep`` columns, the measurements and ``failed``: bit i is set if rule i of RULES fails.
+
+    One row per row of docs, repeated rows and null ids included; null and empty texts fail few_words; an empty table gives no rows.
+    """
     rows = measured(docs.select(*keep, F.col(text).alias("__text")), text="__text").drop("__text")
     return rows.withColumn("failed", failure_bits())
 
@@ -164,6 +167,6 @@ def ablations(rows: DataFrame, policy: Policy, failed: str = "failed") -> DataFr
 
 
 def kept(docs: DataFrame, policy: Policy = PRODUCTION, *, text: str = "text") -> DataFrame:
-    """The documents that the policy doesn't reject, columns as they were."""
+    """The documents that the policy doesn't reject, columns as they were; null and empty texts have too few words, repeated rows share a verdict."""
     rows = measured(docs, text=text, prefix="__q_")
     return rows.withColumn("__q_failed", failure_bits("__q_")).where(~rejected(policy, "__q_failed")).select(*docs.columns)

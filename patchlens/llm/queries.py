@@ -52,15 +52,19 @@ with rows as (
   union all select -7, 0, 'user', '\### Assistant: </turn> ok'
   union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from rows),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i,
+    lag(role) over (partition by conv_id order by turn nulls first, role, text) as before from t),
+m as (select *, case when i = 0 then role not in ('system', 'user') when before = 'user' then role <> 'assistant' else role <> 'user' end as stuck from n),
 c as (
   select conv_id, count(*) as n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
-    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+    string_agg(role || chr(10) || text || chr(10), '' order by i) as turns,
+    coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '') as loss,
     sum(length('<|turn|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1
-      + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|end|>') + 1) as formatted_chars
-  from t group by conv_id)
+      + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|end|>') + 1) as formatted_chars,
+    min(i) filter (where stuck) as bad_turn, arg_max(role, i) as last
+  from m group by conv_id)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256,
-  cast(formatted_chars as bigint) as formatted_chars
+  cast(formatted_chars as bigint) as formatted_chars, bad_turn is null and last = 'assistant' as valid, cast(bad_turn as bigint) as bad_turn
 from c
 """
 
@@ -73,14 +77,15 @@ def op7(spark, sf_dir):
     planted = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
-    out = chat.format_conversations(turns.unionByName(planted))
-    read = F.array_join(F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select("conv_id", "n_turns", "formatted", read.alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).select(
+    out = chat.format_conversations(turns.unionByName(planted)).withColumn("read", chat.read_back(F.col("formatted")))
+    whole = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", "n_turns", "formatted", whole.alias("turns"), chat.loss_of(F.col("read")).alias("loss"),
+                      "valid", "bad_turn").select(
         "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn")
 
 
-QUALITY_SQL = r"""
+LEDGER_SQL = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
 l as (select r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
@@ -88,25 +93,40 @@ g as (select r, i, w[i:i + 4] as g from (select r, w, unnest(range(1, len(w) - 3
 rep as (select r, count(distinct i + k) as n from (
     select r, i from (select *, count(*) over (partition by r, g) as c from g) where c > 1) as t, range(5) as o(k) group by r),
 m as (
-  select r, doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
+  select r, doc_id, len(w) as n_words, len(l) as n_lines, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
     len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
     len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-z]'))) as n_upper_words
   from w join l using (r) left join rep using (r)),
-b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
-select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 100 * n_symbols > 10 * n_words or 100 * n_upper_words > 50 * n_words) as kept
-from b
+b as (select *, cast(word_chars as bigint) as chars, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
+f as (select *, (n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (100 * n_symbols > 10 * n_words)::int
+    + 8 * (100 * n_upper_words > 50 * n_words)::int + 16 * (100 * n_dup_lines > 30 * n_lines)::int
+    + 32 * (chars < 2 * n_words or chars > 12 * n_words)::int as failed from b)
 """
+QUALITY_COLUMNS = """
+select doc_id, n_words, chars as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed & 15 = 0 as kept"""
+QUALITY_SQL = f"{LEDGER_SQL}{QUALITY_COLUMNS} from f"
 
 
-@query("op6_quality_rules", QUALITY_SQL)
+@query("op6_quality_rules", f"{LEDGER_SQL}{QUALITY_COLUMNS}, cast(failed as bigint) as failed, '2' as policy from f")
 def op6(spark, sf_dir):
     """All documents judged by the ledger's bits under the production policy."""
     rows = quality.ledger(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        quality.rejected(quality.BASE).alias("base_failed"), (~quality.rejected(quality.PRODUCTION)).alias("kept"))
+        quality.rejected(quality.BASE).alias("base_failed"), (~quality.rejected(quality.PRODUCTION)).alias("kept"),
+        "failed", F.lit(quality.PRODUCTION.version).alias("policy"))
+
+
+@query("quality_ablations", LEDGER_SQL + """,
+r as (select * from (values ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('shouting', 8), ('repeated_lines', 16), ('word_length', 32)) v(rule, bit))
+select rule, count(*) filter (where failed & bit <> 0) as n_failed, count(*) filter (where failed = bit) as n_only,
+  count(*) filter (where failed <> 0) as n_rejected, count(*) as n_rows from f, r group by rule
+""")
+def quality_ablations(spark, sf_dir):
+    """What every rule of the strict policy rejects, and rejects alone, from the ledger's bits."""
+    rows = quality.ledger(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return quality.ablations(rows, quality.STRICT)
 
 
 WORDS_SQL = r"""

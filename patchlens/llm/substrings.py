@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import Handoff, gram_hash, mix64, sha_hex, string_parts, text_key, word_hashes
+from patchlens.llm.common import Handoff, gram_hash, sha_hex, string_parts, text_key, word_hashes, word_lanes
 from patchlens.llm.repeats import (anchor_places, candidates, in_any, repeated_hashes, row_lists, signatures,
                                    window_minima, window_starts)
 
@@ -70,7 +70,7 @@ def _windows(texts: DataFrame, window: int, sizes: list[int]) -> DataFrame:
         for batch in batches:
             for first, buf, off in string_parts(batch.column("text")):
                 n = len(off) - 1
-                words, rows, _, _ = word_hashes(buf, off)
+                words, second, rows, _, _ = word_lanes(buf, off)
                 starts = np.flatnonzero(_surviving(
                     words, rows, window, sizes, [batch.column(f"h{i}").slice(first, n) for i in range(len(sizes))]))
                 if not len(starts):
@@ -78,7 +78,7 @@ def _windows(texts: DataFrame, window: int, sizes: list[int]) -> DataFrame:
                 row = np.searchsorted(rows, starts, side="right") - 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(gram_hash(words, window)[starts].view(np.int64)),
-                    pa.array(gram_hash(mix64(words ^ np.uint64(SECOND_BASE)), window, SECOND_BASE)[starts].view(np.int64)),
+                    pa.array(gram_hash(second, window, SECOND_BASE)[starts].view(np.int64)),
                     batch.column("id").slice(first, n).take(pa.array(row)), pa.array((starts - rows[row]).astype(np.int32)),
                 ], ["a", "b", "id", "word"])
 
@@ -162,7 +162,13 @@ def summary(docs: DataFrame, work: Handoff, window: int = 35) -> DataFrame:
 
 def without_repeats(docs: DataFrame, work: Handoff, window: int = 35) -> DataFrame:
     """All rows and columns of ``docs``; a text that loses words becomes its kept words joined by
-    one blank (n_chars, if there, their number of characters); other texts stay as they are."""
+    one blank (n_chars, if there, their number of characters); other texts stay as they are.
+
+    Null and empty texts stay null and empty; repeated rows are copies of each other; an empty table gives an empty one. Columns named __k, __key
+    or __kept are an error.
+    """
+    if clash := {"__k", "__key", "__kept"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
     rows, cleaned = repeated_words(docs.select("doc_id", "text"), work, window)
     empty = rows.where((F.col("copies") > 1) & (F.col("n_words") >= window)).select("key", F.lit("").alias("__kept")).distinct()
     rest = cleaned.join(empty, "key", "left_anti").select("key", F.col("kept").alias("__kept"))
