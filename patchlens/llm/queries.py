@@ -32,7 +32,7 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """All documents packed into sequences of at most 1024 ids."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN, window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
 
