@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchlens import oracle as O
 from patchlens.catalog import register
 from patchlens.operators import sampling as W
+from patchlens.operators import subwords as SW
 from patchlens.operators import tfidf as TF
 from patchlens.sources.fixtures import corpus_rows
 
@@ -123,3 +124,12 @@ def encode_fixed_length(spark, sf):
     return enc.select("row_id", F.col("n_tokens").cast("long").alias("n_tokens"),
                       F.array_join("input_ids", ",").alias("ids_csv"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_sum"))
+
+
+@register("encode_subwords")
+def encode_subwords(spark, sf):
+    """All documents as sub-word ids of a public byte-level vocabulary, truncated / padded to 256, with mask."""
+    import public_tokenizers
+    enc = SW.encode_subwords(corpus_rows(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+    return enc.select("row_id", "n_tokens", F.array_join("input_ids", ",").alias("ids_csv"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("mask_sum"))

@@ -10,6 +10,7 @@ one would leave each executor with its own part of a table.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -80,10 +81,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_made: list = []  # (file system, path) of the tables that this process has put into the shared folder
+
+
+def _clear() -> None:
+    for fs, path in _made:
+        with contextlib.suppress(Exception):  # the cluster, or the table, may be gone by then
+            fs.delete(path, True)
+    _made.clear()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder (never reused between runs)."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder, never reused; what is written there is deleted when the process ends, on a cluster too."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(_clear)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _made.append((at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at))
+    return path
 
 
 def materialize(df):
