@@ -15,22 +15,25 @@ from patchlens.llm.common import Handoff, new_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy rejects go."""
+    """Documents that the production policy rejects go; null and empty texts have too few words and go too, repeated rows share a verdict."""
     return quality.kept(docs, quality.PRODUCTION)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate component stays, that of the smallest doc_id."""
+    """One document of every near-duplicate component stays, that of the smallest doc_id; null and empty texts are one component."""
     return simhash.deduplicated(docs, Handoff(spark), shingle=4, radius=4)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of 35-word windows that are found again are removed from the texts; no document goes."""
+    """Words of 35-word windows that are found again are removed from the texts; no document goes.
+
+    Null and empty texts stay as they are.
+    """
     return substrings.without_repeats(docs, Handoff(spark), 35)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 ids."""
+    """Pieces of all documents in sequences of at most 1024 ids; a null or empty text is one end id."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN, window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -239,8 +239,11 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
 
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``: the bytes that ``ids`` stand for. A null or empty ``ids`` gives no bytes."""
+    """``df`` with ``out``: the bytes that ``ids`` stand for. A null or empty ``ids`` gives no bytes; repeated rows stay, an
+    empty table gives an empty one. A column ``out`` that is there already is an error."""
     names = df.columns
+    if out in names:
+        raise ValueError(f"a column {out} is there already")
     schema = StructType([*df.schema.fields, StructField(out, BinaryType(), False)])
     return df.mapInArrow(lambda b: _decoded(b, path, names, ids, out), schema)
 

@@ -195,8 +195,8 @@ def op8(spark, sf_dir):
     work = Handoff(spark)
     pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("file", F.floor(F.col("page_id") / 256))
     flipped = F.when((F.col("page_id") % 97 == 0) & (F.col("html") != ""), F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    one = warc.tree(warc.records(pages), work)
-    other = warc.records(pages.withColumn("html", flipped))
+    one = warc.tree(warc.records(pages, body=False), work)
+    other = warc.records(pages.withColumn("html", flipped), body=False)
     last = other.groupBy("file").agg(F.max("ordinal").alias("end")).withColumnRenamed("file", "f")
     other = other.join(last, F.col("file").eqNullSafe(F.col("f"))).where(
         (F.col("file") % 29 != 0) | (F.col("ordinal") < F.col("end")) | (F.col("end") == 0) | F.col("file").isNull())

@@ -153,7 +153,7 @@ def _stars(fp: np.ndarray, left: np.ndarray, low: int, radius: int, masks: list[
 def links(fps: DataFrame, work: Handoff, *, radius: int = 4, prefix_bits: int | None = None) -> DataFrame:
     """Star edges (a, b) whose components are those of all pairs within ``radius`` bits.
 
-    ``fps``: a column fp (long), repeats allowed. ``radius`` must be even: then any
+    ``fps``: a column fp (long), repeats allowed, nulls left out; an empty table has no edges. ``radius`` must be even: then any
     two fingerprints that meet are within it.
     """
     if radius % 2 or radius < 0:
@@ -227,8 +227,11 @@ def deduplicated(docs: DataFrame, work: Handoff, *, shingle: int = 4, radius: in
     """The documents that are the first (smallest doc_id) of their component, all columns kept.
 
     Of rows that share this doc_id one stays. Rows without a doc_id stay only where
-    their component has no doc_id at all, and then one of them.
+    their component has no doc_id at all, and then one of them. Null, empty and blank texts are copies of each other;
+    an empty table gives an empty one. Columns named __id, __own, __fp, __root, __first or __n are an error.
     """
+    if clash := {"__id", "__own", "__fp", "__root", "__first", "__n"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
     marked = work.write(near_duplicates(docs, work, shingle=shingle, radius=radius), "marked")
     # Ids that several rows share, or that are missing, can't name a row: those rows are looked at again.
     odd = work.write(marked.groupBy("doc_id").count().where("count > 1 or doc_id is null")

@@ -16,35 +16,39 @@ FANOUT = 16
 CRLF = "\r\n"
 
 
-def records(pages: DataFrame, file: str = "file") -> DataFrame:
+def records(pages: DataFrame, file: str = "file", body: bool = True) -> DataFrame:
     """WARC/1.1 resource records of ``pages`` (``file``, page_id, url, html).
 
-    file, ordinal (from 0 in page_id, url, html order), offset, length, record (binary). A null url or html
+    file, ordinal (from 0 in page_id, url, html order), offset, length, record (binary); without ``body`` their SHA-256 (hash) in
+    place of the records, so that a file's bodies are not shuffled to one task. A null url or html
     counts as empty, a null id is written as an empty one, a null file is a file like any other. Repeated
-    rows are records of their own. Other columns are not read.
+    rows are records of their own. An empty table has no records. Other columns are not read.
     """
-    body = F.coalesce("html", F.lit(""))
+    html = F.coalesce("html", F.lit(""))
     text = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: resource{CRLF}WARC-Record-ID: <urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(f">{CRLF}WARC-Target-URI: "), F.coalesce("url", F.lit("")),
-        F.lit(f"{CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF + CRLF), body, F.lit(CRLF + CRLF))
-    made = pages.select(F.col(file).alias("file"), "page_id", "url", "html", text.cast("binary").alias("record"))
+        F.lit(f"{CRLF}Content-Length: "), F.octet_length(html).cast("string"), F.lit(CRLF + CRLF), html, F.lit(CRLF + CRLF))
     # Bodies needn't be sorted: their hash orders rows that share id and url.
-    order = Window.partitionBy("file").orderBy("page_id", "url", F.xxhash64("html"))
+    made = pages.select(F.col(file).alias("file"), "page_id", "url", F.xxhash64("html").alias("tie"), text.cast("binary").alias("record"))
     sized = made.withColumn("length", F.octet_length("record").cast("long"))
+    said = "record" if body else "hash"
+    sized = sized if body else sized.withColumn("hash", F.sha2("record", 256)).drop("record")
+    order = Window.partitionBy("file").orderBy("page_id", "url", "tie")
     return sized.select(
         "file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"),
         (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"),
-        "length", "record")
+        "length", said)
 
 
 def tree(recs: DataFrame, work: Handoff) -> list[DataFrame]:
     """Levels from records to roots: file, ordinal, offset, length, hash (hex). A file's last level has one node.
 
-    Level 0 holds one row per record; a node above has at most FANOUT children, which is what
+    ``recs``: ``records`` with or without their bodies. Level 0 holds one row per record; a node above has at most FANOUT children, which is what
     one task gathers. An empty table has one empty level.
     """
-    level = work.write(recs.select("file", "ordinal", "offset", "length", F.sha2("record", 256).alias("hash")), "leaves")
+    own = F.col("hash") if "hash" in recs.columns else F.sha2("record", 256)
+    level = work.write(recs.select("file", "ordinal", "offset", "length", own.alias("hash")), "leaves")
     levels = [level]
     while (level.agg(F.max("ordinal")).first()[0] or 0) > 0:
         child = F.struct("ordinal", F.concat_ws(":", "offset", "length", "hash").alias("entry"))
