@@ -30,7 +30,7 @@ from patchlens.llm.tokens import ChunkEncoder, little, text_slices
 #: Ids of a block; its last window's padding is at most window / BLOCK_IDS of it.
 BLOCK_IDS = 1 << 20
 #: Text bytes that are split and numbered at once: distinct chunks are fewer in longer slices.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SENTENCE, INSIDE = 4, 16  # truncation penalties, in padded ids
 
 
