@@ -15,6 +15,7 @@ from patchlens.functions import text as T
 from patchlens.functions.enrich import enrich_all
 from patchlens.operators import filters as P
 from patchlens.operators import sampling as W
+from patchlens.session import materialize
 
 #: Default quota of the quota operator itself; no other step applies it.
 QUOTAS = {1: 3000, 0: 6000}
@@ -35,7 +36,8 @@ def ready(raw: DataFrame, quotas: dict | None = None, use_security_terms: bool =
     """Schema *function_ready* (plus ``row_id``)."""
     df = P.select_rename(collected_rows(raw, quotas), keep=["row_id"])
     df = P.constant_columns(df, {"files_changed": 1}, drop=["files_changed"])
-    df = W.dedup_keep_first(df, ["func_before", "label"], order="row_id")
+    # Read twice by the dedup, by its key columns and whole: stored, the filters and joins behind it run once.
+    df = W.dedup_keep_first(materialize(df), ["func_before", "label"], order="row_id")
     df = P.fill_nulls(df, P.FUNCTION_FILLS)
     df = df.withColumn("diff", T.clean_patch(F.col("diff")))
     df = (df.withColumn("diff_length", F.length("diff").cast("long"))
