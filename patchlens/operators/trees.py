@@ -13,7 +13,11 @@ a feature out again is one division by its factor. No feature set is enumerated
 
 A leaf sees at most 2**m patterns of inside or outside, m being the number of different features on its path, so a batch of rows is
 answered from a table of those patterns, or row by row where the table would be longer than the batch.
-Rows are explained in Arrow batches without a shuffle; the trees go to the executors in parts of at most ``PART_BYTES`` each.
+
+The trees take their thresholds from a few per feature (the bins of the fit), so they tell rows apart by cells only: for each feature, the
+number of the forest's thresholds below the value. Rows are dealt out by ranges of their cells (and ids, so that a large cell is no single
+task's), and an Arrow batch explains each of its cells once, by lists of leaf bits for each value of a cell's coordinates.
+The trees go to the executors in parts of at most ``PART_BYTES`` each.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from patchlens.session import scratch_path
 #: Bytes of leaf arrays that one broadcast may hold, and entries of a numpy step.
 PART_BYTES = 64 << 20
 STEP = 1 << 22
+#: Rows that a task explains.
+TASK_ROWS = 1 << 16
 
 
 @dataclass
@@ -128,33 +134,59 @@ def _spread(values: np.ndarray, feature: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def cuts_of(trees: list[Leaves], width: int) -> list[np.ndarray]:
+    """For each feature the forest's thresholds, rising."""
+    return [np.unique(np.concatenate([x[(t.feature == f) & np.isfinite(x)] for t in trees for x in (t.low, t.high)])) for f in range(width)]
+
+
+def cells(cuts: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """(row, feature): thresholds below the value; a value that isn't a number is above all, as in the forest."""
+    return np.stack([np.searchsorted(c, np.where(np.isnan(v), np.inf, v), side="left") for c, v in zip(cuts, x.T)], axis=1)
+
+
 def explain(trees: list[Leaves], x: np.ndarray) -> np.ndarray:
     """Shapley values (row, feature) of the rows ``x``; a value that isn't a number goes right, as in the forest."""
-    n, width = x.shape
-    x = np.concatenate([np.where(np.isnan(x), np.inf, x), np.zeros((n, 1))], axis=1)
+    cuts = cuts_of(trees, x.shape[1])
+    at, of = np.unique(cells(cuts, x), axis=0, return_inverse=True)
+    return _explain_cells(trees, cuts, at)[of.reshape(-1)]
+
+
+def _explain_cells(trees: list[Leaves], cuts: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    n, width = at.shape
     out = np.zeros((n, width + 1))
+    # A value of each coordinate; the last feature is the padding.
+    values = [np.append(c, np.inf) for c in cuts] + [np.zeros(1)]
     for tree in trees:
-        leaves, m = tree.feature.shape
+        m = tree.feature.shape[1]
         bit = 1 << np.arange(m)
         table = (1 << m) <= max(n, 64)
-        for a in range(0, leaves, max(1, STEP // ((1 << m) * (width + 1))) if table else 256):
-            part = slice(a, a + (max(1, STEP // ((1 << m) * (width + 1))) if table else 256))
+        size = max(1, STEP // ((1 << m) * (width + 1))) if table else 256
+        for a in range(0, len(tree.value), size):
+            part = slice(a, a + size)
             feature, low, high, share, value = (getattr(tree, c)[part] for c in ("feature", "low", "high", "share", "value"))
             each = np.arange(len(value))
+            step = max(1, STEP // (len(value) * (width + 1)))
             if table:
                 patterns = (np.arange(1 << m)[:, None] & bit) > 0
                 known = _spread(game_values(patterns[None], share[:, None]) * value[:, None, None], feature, width + 1)
-            step = max(1, STEP // (len(value) * (width + 1)))
-            for i in range(0, n, step):
-                rows = x[i:i + step]
-                if table:
-                    at = np.zeros((len(rows), len(value)), np.int64)
-                    for s in range(m):
-                        seen = rows[:, feature[:, s]]
-                        at += ((seen > low[:, s]) & (seen <= high[:, s])) * bit[s]
-                    out[i:i + step] += known[each, at].sum(axis=1)
-                else:
-                    seen = rows[:, feature]
+                known = known.reshape(-1, width + 1)
+                # bits[f][c, l]: the bit of leaf l's slot of feature f, if a value with coordinate c is inside.
+                bits = [np.zeros((len(v), len(value)), np.int32) for v in values]
+                for s in range(m):
+                    for f, v in enumerate(values):
+                        l = np.flatnonzero(feature[:, s] == f)
+                        bits[f][:, l] += ((v[:, None] > low[l, s]) & (v[:, None] <= high[l, s])) * bit[s].astype(np.int32)
+                bits[width][:] += (each << m).astype(np.int32)
+                for i in range(0, n, step):
+                    rows = at[i:i + step]
+                    seen = np.broadcast_to(bits[width], (len(rows), len(value))).copy()
+                    for f in range(width):
+                        seen += bits[f][rows[:, f]]
+                    out[i:i + step] += np.take(known, seen, axis=0).sum(axis=1)
+            else:
+                x = np.stack([values[f][at[:, f]] for f in range(width)] + [np.zeros(n)], axis=1)
+                for i in range(0, n, step):
+                    seen = x[i:i + step][:, feature]
                     phi = game_values((seen > low) & (seen <= high), share) * value[:, None]
                     for s in range(m):
                         np.add.at(out[i:i + step].T, feature[:, s], phi[:, :, s].T)
@@ -184,6 +216,12 @@ def tree_shap(rows: DataFrame, model, features: str = "features", part_bytes: in
     kept = [f for f in rows.schema.fields if f.name != features]
     out = rows.withColumn("__x", vector_to_array(features)).drop(features) \
         .withColumn("phi", F.array_repeat(F.lit(0.0), model.numFeatures))
+    # Equal cells side by side, in as many tasks as have rows for them.
+    cuts = cuts_of(trees, model.numFeatures)
+    cell = [sum((F.col("__x")[i] > float(c)).cast("int") for c in cut) if len(cut) else F.lit(0) for i, cut in enumerate(cuts)]
+    order = [F.array(*cell), F.xxhash64(f"`{kept[0].name}`")]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    out = out.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     for part in _parts(trees, part_bytes):
         shared = spark.sparkContext.broadcast(part)
 
