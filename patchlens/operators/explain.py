@@ -118,6 +118,8 @@ def shap_waterfall(shap: DataFrame) -> DataFrame:
 
 
 MAX_BACKGROUND = 10_000
+#: Predictions that a task makes and groups.
+STATES = 1 << 20
 
 
 # M14
@@ -146,7 +148,10 @@ def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, pr
                         lambda f: F.struct(F.md5(F.concat(f, F.lit(":"), F.col("perm").cast("string"),
                                                           F.lit(f":{seed}"))).alias("k"), f.alias("f")))
     plan = perms.select("perm", F.transform(F.array_sort(keyed), lambda x: x["f"]).alias("order"))
-    samples = (rows.select(id_col, *features, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    # A row's states stay with it: dealt out by id, neither grouping shuffles them.
+    own = rows.select(id_col, *features)
+    tasks = max(1, -(-own.count() * n_perm * (len(features) + 1) // STATES))
+    samples = (own.repartition(tasks, id_col).select(id_col, *features, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
                .withColumn("bg_idx", F.pmod(F.xxhash64(F.col(id_col), F.col("perm"), F.lit(seed)), F.lit(n_bg)))
                .join(F.broadcast(plan), "perm")          # n_perm rows
                .join(F.broadcast(bg), "bg_idx"))         # capped background
