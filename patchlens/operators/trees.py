@@ -15,7 +15,7 @@ A leaf sees at most 2**m patterns of inside or outside, m being the number of di
 answered from a table of those patterns, or row by row where the table would be longer than the batch.
 
 The trees take their thresholds from a few per feature (the bins of the fit), so they tell rows apart by cells only: for each feature, the
-number of the forest's thresholds below the value. Rows are dealt out by ranges of their cells (and ids, so that a large cell is no single
+number of the forest's thresholds below the value. Rows can be dealt out by ranges of their cells (and ids, so that a large cell is no single
 task's), and an Arrow batch explains each of its cells once, by lists of leaf bits for each value of a cell's coordinates.
 The trees go to the executors in parts of at most ``PART_BYTES`` each.
 """
@@ -205,23 +205,25 @@ def _parts(trees: list[Leaves], most: int) -> list[list[Leaves]]:
 
 
 # M14
-def tree_shap(rows: DataFrame, model, features: str = "features", part_bytes: int = PART_BYTES) -> DataFrame:
+def tree_shap(rows: DataFrame, model, features: str = "features", part_bytes: int = PART_BYTES, deal: bool = False) -> DataFrame:
     """``rows`` (any columns and the vector ``features``) with phi (array of doubles in the vector's order) and base_value.
 
     base_value + sum(phi) is the forest's P(label = 1). The background is the training data as the trees have counted it.
     Trees beyond ``part_bytes`` of leaf arrays are a part of their own; the parts are one step after the other over the same rows.
+    ``deal``: rows are dealt out by ranges of their cells first; otherwise there is no shuffle.
     """
     spark = rows.sparkSession
     trees = forest_leaves(model, spark)
     kept = [f for f in rows.schema.fields if f.name != features]
     out = rows.withColumn("__x", vector_to_array(features)).drop(features) \
         .withColumn("phi", F.array_repeat(F.lit(0.0), model.numFeatures))
-    # Equal cells side by side, in as many tasks as have rows for them.
-    cuts = cuts_of(trees, model.numFeatures)
-    cell = [sum((F.col("__x")[i] > float(c)).cast("int") for c in cut) if len(cut) else F.lit(0) for i, cut in enumerate(cuts)]
-    order = [F.array(*cell), F.xxhash64(f"`{kept[0].name}`")]
-    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
-    out = out.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    if deal:
+        # Equal cells side by side, in as many tasks as have rows for them.
+        cuts = cuts_of(trees, model.numFeatures)
+        cell = [sum((F.col("__x")[i] > float(c)).cast("int") for c in cut) if len(cut) else F.lit(0) for i, cut in enumerate(cuts)]
+        order = [F.array(*cell), F.xxhash64(f"`{kept[0].name}`")]
+        tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+        out = out.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     for part in _parts(trees, part_bytes):
         shared = spark.sparkContext.broadcast(part)
 
