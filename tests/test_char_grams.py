@@ -89,3 +89,15 @@ def test_char_cross_validation_equals_fold_by_fold_fitting(spark):
         vocab, model = ML.fit_text_model(folded.where(F.col("fold") != f), PARAMS)
         scored = ML.score_text(folded.where(F.col("fold") == f), vocab, model, PARAMS)
         assert got[f] == pytest.approx(M.grouped_metrics(scored, (), 0.5, "prob", pred=F.col("pred") == 1).first()["f1"], abs=1e-6)
+
+
+def test_folds_vectors_need_no_shuffle(spark):
+    docs = corpus(spark, 60).where("row_id is not null").withColumn("fold", F.pmod("row_id", F.lit(3)).cast("int"))
+    vocab = TF.fit_char_vocabulary(docs, PARAMS)
+    terms = sorted(r["term"] for r in vocab.collect())
+    counted = TF.materialize(TF.char_counts(TF.char_docs(docs, part="fold", keep=("label",)), terms, PARAMS))
+    assert counted.count() == docs.select("row_id").distinct().count()
+    for inside in (True, False):
+        rows = TF.fold_vectors(counted, terms, vocab, PARAMS.max_features, 1, inside, ("label",))
+        assert rows.count() == docs.where(F.col("fold") == 1 if inside else F.col("fold") != 1).count()
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
