@@ -118,6 +118,32 @@ def test_suffix_order(seed, monkeypatch):
             assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_suffix_order_of_some_positions(monkeypatch):
+    rng, sorted_rows = random.Random(7), []
+    push = suffixes.DiskQueue.push
+    monkeypatch.setattr(suffixes.DiskQueue, "push", lambda self, *c: sorted_rows.append(len(c[0])) or push(self, *c))
+    for _ in range(150):
+        n, letters = rng.randint(0, 80), rng.choice([1, 2, 3, 200])
+        whole = [rng.randint(1, letters) for _ in range(n)] * rng.choice([1, 1, 3]) + [0]
+        cap, memory = rng.choice([3, 10, 400]), rng.choice([1 << 10, 1 << 14, 1 << 27])
+        monkeypatch.setattr(suffixes, "STEP", rng.choice([7, 64, 1 << 18]))
+        wanted = np.array([rng.random() < 0.3 for _ in whole], bool)
+        order = suffixes.SuffixOrder(np.asarray(whole, np.uint32), cap, suffixes.Space(memory))
+        order._samples_ranked()
+        samples = sum(sorted_rows)
+        sorted_rows.clear()
+        found = [(int(p), int(c)) for _, pos, common in order.neighbours(wanted) for p, c in zip(pos, common)]
+        # Besides the samples only the wanted positions are sorted.
+        assert sum(sorted_rows) == samples + wanted.sum()
+        sorted_rows.clear()
+        at = [p for p, _ in found]
+        assert sorted(at) == np.flatnonzero(wanted).tolist()
+        assert [whole[i:i + cap] for i in at] == sorted(whole[i:i + cap] for i in at)
+        for (a, _), (b, c) in zip(found, found[1:]):
+            a, b = whole[a:][:cap], whole[b:][:cap]
+            assert c == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def simple_fingerprint(text, shingle=4):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     parts = [words[i:i + shingle] for i in range(max(1, len(words) - shingle + 1))] if words else []
