@@ -25,6 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 from patchlens.session import materialize
 
@@ -44,8 +45,16 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]):
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
 
-#: Rows of one hash range that a task ranks.
+#: Rows of one hash range that a task ranks, and the same of rows that carry texts, lists or vectors along.
 RANK_ROWS = 1 << 20
+WIDE_ROWS = 1 << 12
+
+
+def _rank_rows(df: DataFrame, named: list[str]) -> int:
+    """How many rows of ``df`` a task should rank at once: fewer if columns besides ``named`` can be of any length."""
+    fixed = (NumericType, BooleanType, DateType, TimestampType)
+    wide = any(f.name not in named and not isinstance(f.dataType, fixed) for f in df.schema.fields)
+    return min(WIDE_ROWS, RANK_ROWS) if wide else RANK_ROWS
 
 
 def _prefix_sizes(keys: DataFrame, key: str, by: list[str], rank_rows: int) -> tuple[DataFrame, int]:
@@ -84,12 +93,14 @@ def _ranked(df: DataFrame, key: str, by: list[str], tie: str | None, sizes: Data
 
 
 def hash_rank(df: DataFrame, key: str, by: list[str] = (), tie: str | None = None,
-              rank_rows: int = RANK_ROWS, out: str = "rank") -> DataFrame:
+              rank_rows: int | None = None, out: str = "rank") -> DataFrame:
     """Exact ``row_number() over (partition by <by> order by <key>, <tie>)``.
 
-    ``key`` must be a hex hash column: a task ranks the rows of one prefix, at most ``rank_rows`` unless more share a key.
+    ``key`` must be a hex hash column: a task ranks the rows of one prefix, at most ``rank_rows`` unless more share a key
+    (by default as many as suits what the rows carry: they are sorted whole).
     """
     by = list(by)
+    rank_rows = rank_rows or _rank_rows(df, [key, *by, tie])
     sizes, digits = _prefix_sizes(df, key, by, rank_rows)
     return _ranked(df, key, by, tie, sizes, digits, out)
 

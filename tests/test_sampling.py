@@ -30,6 +30,19 @@ def test_prefixes_get_finer_until_they_are_within_the_bound(spark):
     assert W.hash_rank(df.limit(0), "k").collect() == []
 
 
+def test_rows_with_texts_are_ranked_in_smaller_parts(spark, monkeypatch):
+    bounds, one = [], W._prefix_sizes
+    monkeypatch.setattr(W, "_prefix_sizes", lambda *a: bounds.append(a[-1]) or one(*a))
+    monkeypatch.setattr(W, "WIDE_ROWS", 100)
+    df = _rows(spark).drop("project")
+    plain = W.stratified_kfold(df, 5)
+    texts = W.stratified_kfold(df.withColumn("text", F.repeat(F.lit("x"), 50)), 5)
+    assert bounds == [W.RANK_ROWS, 100]
+    assert texts.drop("text").exceptAll(plain).count() == 0 and texts.count() == 2000
+    W.hash_rank(df.select(W.hash_key("row_id").alias("k"), F.col("row_id").cast("string").alias("t")), "k", tie="t")
+    assert bounds[-1] == W.RANK_ROWS
+
+
 def test_shuffle_is_a_permutation_with_ranks(spark):
     got = W.shuffle_rows(_rows(spark, 700)).orderBy("shuffle_rank").collect()
     assert [r["shuffle_rank"] for r in got] == list(range(1, 701)) and [r["shuffle_key"] for r in got] == sorted(r["shuffle_key"] for r in got)
