@@ -34,7 +34,8 @@ parts AS (SELECT e.*, a.split FROM enriched e JOIN assign a ON e.project IS NOT
 
 
 def _split(spark, sf):
-    en = PP.enriched(functions_raw(spark, sf)).select("row_id", "project", "label", *ALL_FEATURES)
+    # The stored collected rows leave out what no feature needs.
+    en = PP.enriched(functions_raw(spark, sf), columns=["project"]).select("row_id", "project", "label", *ALL_FEATURES)
     s = materialize(W.project_wise_split(en))
     return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
 

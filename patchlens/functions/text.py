@@ -90,11 +90,15 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def py_lines(col) -> Column:
     """``str.splitlines()`` as an array<string>."""
-    parts = F.split(_c(col), LINE_BREAK_RE, -1)
-    return F.when(F.element_at(parts, -1) == F.lit(""),
-                  F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return _bound(F.split(_c(col), LINE_BREAK_RE, -1), lambda parts: F.when(
+        F.element_at(parts, -1) == F.lit(""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def py_rstrip(col) -> Column:
@@ -214,9 +218,8 @@ def identifier_tokens(col) -> Column:
 
 
 def token_diversity(col) -> Column:
-    toks = identifier_tokens(col)
-    n = F.size(toks)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(toks)) / n)
+    return _bound(identifier_tokens(col), lambda toks: F.when(F.size(toks) == 0, F.lit(0.0)).otherwise(
+        F.size(F.array_distinct(toks)) / F.size(toks)))
 
 
 def count_occurrences(lc: Column, term: str) -> Column:
@@ -233,13 +236,11 @@ def security_keyword_count(col) -> Column:
 
 
 def comment_ratio(col) -> Column:
-    lines = py_lines(col)
-    n = F.size(lines)
-
+    # What a stripped line starts with, without stripping it.
     def is_comment(line):
-        s = py_strip(line)
-        return _starts(s, "//") | _starts(s, "*") | _starts(s, "/*")
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.filter(lines, is_comment)) / n)
+        return line.rlike(_LSTRIP_RE[:-1] + r"*(?://|\*|/\*)")
+    return _bound(py_lines(col), lambda lines: F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(
+        F.size(F.filter(lines, is_comment)) / F.size(lines)))
 
 
 # ---------------------------------------------------------------------------

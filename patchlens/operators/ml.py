@@ -70,8 +70,9 @@ def logreg(weight_sum: float, C: float = 1.0, features: str = "features", label:
 # M5
 def forest(features: str = "features", label: str = "label", weight: str = "weight",
            n_trees: int = 100, depth: int = 10) -> RandomForestClassifier:
+    """Each row's node in every tree is kept from pass to pass, in place of a walk from all roots; the trees are the same."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight,
-                                  numTrees=n_trees, maxDepth=depth, seed=SEED)
+                                  numTrees=n_trees, maxDepth=depth, seed=SEED, cacheNodeIds=True, checkpointInterval=-1)
 
 
 # M6

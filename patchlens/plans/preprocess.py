@@ -32,10 +32,12 @@ def collected_rows(raw: DataFrame, quotas: dict | None = None) -> DataFrame:
 
 
 def ready(raw: DataFrame, quotas: dict | None = None, use_security_terms: bool = True,
-          shuffle: bool = False) -> DataFrame:
-    """Schema *function_ready* (plus ``row_id``)."""
+          shuffle: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """Schema *function_ready* (plus ``row_id``); with ``columns`` only those of the collected ones and what the steps here read."""
     df = P.select_rename(collected_rows(raw, quotas), keep=["row_id"])
     df = P.constant_columns(df, {"files_changed": 1}, drop=["files_changed"])
+    if columns is not None:
+        df = df.select("row_id", *[c for c in df.columns if c in {*columns, "diff", "func_before", "label"}])
     # Read twice by the dedup, by its key columns and whole: stored, the filters and joins behind it run once.
     df = W.dedup_keep_first(materialize(df), ["func_before", "label"], order="row_id")
     df = P.fill_nulls(df, P.FUNCTION_FILLS)
@@ -50,10 +52,10 @@ def ready(raw: DataFrame, quotas: dict | None = None, use_security_terms: bool =
     return df
 
 
-def enriched(raw: DataFrame, quotas: dict | None = None) -> DataFrame:
+def enriched(raw: DataFrame, quotas: dict | None = None, columns: list[str] | None = None) -> DataFrame:
     """Schema *function_enriched*: ready + the seven code metrics, with the
-    diff line counts recomputed from the cleaned diff."""
-    return enrich_all(ready(raw, quotas), "func_before", "diff")
+    diff line counts recomputed from the cleaned diff. ``columns`` as in ``ready``."""
+    return enrich_all(ready(raw, quotas, columns=columns), "func_before", "diff")
 
 
 def feature_means_by_class(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:

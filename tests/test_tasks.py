@@ -61,3 +61,43 @@ def test_line_items_are_dealt_out_before_they_are_grouped(spark):
     plan = functions_raw(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
     depth = [i for i, line in enumerate(plan) if "collect_list" in line]
     assert "REPARTITION_BY_COL" in "".join(plan) and depth[-1] < next(i for i, line in enumerate(plan) if "REPARTITION_BY_COL" in line)
+
+
+def test_a_forest_keeps_its_rows_nodes_and_its_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(400).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"),
+                                   ((F.col("id") * 13 % 17) > 8).cast("int").alias("label"), F.lit(1.0).alias("weight"))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).repartition(2).cache()
+    kept = ML.forest(n_trees=5, depth=4)
+    assert kept.getCacheNodeIds() and kept.getCheckpointInterval() == -1
+    walked = ML.forest(n_trees=5, depth=4).setCacheNodeIds(False)
+    a, b = (e.fit(rows).toDebugString.split("\n", 1)[1] for e in (kept, walked))
+    assert a == b
+
+
+def test_lines_and_tokens_are_computed_once_a_row(spark):
+    from patchlens.functions import text as T
+    texts = ["", "\n", " // a\n　* b\n\x1c/* c\n/ d\nx // e\n", "*\r\n  \t//", "a b a", None, " \n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def of(column, word):
+        out = df.select("i", column.alias("v"))
+        assert out._jdf.queryExecution().analyzed().toString().count(word) == 1
+        return [r["v"] for r in out.orderBy("i").collect()]
+
+    lines = [t and t.splitlines() for t in texts]
+    assert of(T.py_lines("t"), "split(") == [[] if t == "" else x for t, x in zip(texts, lines)]
+    starts = [x and [y.strip().startswith(("//", "*", "/*")) for y in x] for x in lines]
+    assert of(T.comment_ratio("t"), "split(")[:5] == [sum(x) / len(x) if x else 0.0 for x in starts[:5]]
+    assert of(T.token_diversity("t"), "regexp_extract_all(") == [0.0, 0.0, 1.0, 0.0, 2 / 3, None, 0.0]
+
+
+def test_features_store_only_the_columns_they_need(spark, monkeypatch):
+    from patchlens.plans import preprocess as PP
+    from patchlens.sources.fixtures import functions_raw
+    stored, one = [], PP.materialize
+    monkeypatch.setattr(PP, "materialize", lambda df: stored.append(df.columns) or one(df))
+    raw = functions_raw(spark, "/root/testdata/sf0.001").where("row_id < 400")
+    few, whole = PP.enriched(raw, columns=["project"]), PP.enriched(raw)
+    assert stored[0] == ["row_id", "project", "diff", "func_before", "label"] and "func_after" in stored[1]
+    assert few.exceptAll(whole.select(few.columns)).count() == 0 and few.count() == whole.count()
