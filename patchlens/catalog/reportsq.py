@@ -175,7 +175,7 @@ def baseline_sections(matrix) -> list[RP.Section]:
 @register("report_baseline")
 def report_baseline(spark, sf):
     """The report of the structured baselines, from fitted models."""
-    train, test = MQ._split(spark, sf)
+    train, test = MQ._split(spark, sf, MQ.ALL_FEATURES)
     return RP.report(baseline_sections(materialize(ML.experiment_matrix(train, test))))
 
 
