@@ -16,6 +16,9 @@ ENRICHED_FEATURES = [
     "comment_ratio", "lines_added", "lines_removed",
 ]
 
+#: Those that are taken from the diff.
+DIFF_FEATURES = ["diff_length", "lines_added", "lines_removed"]
+
 METRIC_COLUMNS = ["cyclomatic_complexity", "num_parameters", "num_function_calls",
                   "nesting_depth", "token_diversity", "security_keyword_count", "comment_ratio"]
 
@@ -33,18 +36,19 @@ def metric_columns(code_col: str = "func_before") -> list:
     ]
 
 
-def enrich_all(df: DataFrame, code_col: str = "func_before", diff_col: str = "diff",
+def enrich_all(df: DataFrame, code_col: str = "func_before", diff_col: str | None = "diff",
                keep_raw_counts: bool = True) -> DataFrame:
-    """Add all metrics in one projection.
+    """Add all metrics in one projection; without a diff column those of the code.
 
     ``lines_added`` / ``lines_removed`` are recomputed from the (cleaned)
     diff and overwrite the source counts; with ``keep_raw_counts`` the
     source counts stay available as ``raw_lines_added`` / ``raw_lines_removed``.
     """
     code = F.coalesce(F.col(code_col), F.lit(""))
-    diff = F.coalesce(F.col(diff_col), F.lit(""))
     # bind the filled text once, then compute every feature off it
-    base = df.withColumn(code_col, code).withColumn(diff_col, diff)
+    base = df.withColumn(code_col, code)
+    if diff_col is not None:
+        base = base.withColumn(diff_col, F.coalesce(F.col(diff_col), F.lit("")))
     keep = [c for c in base.columns if c not in set(ENRICHED_FEATURES)]
     raw = []
     if keep_raw_counts:
@@ -53,9 +57,9 @@ def enrich_all(df: DataFrame, code_col: str = "func_before", diff_col: str = "di
                 raw.append(F.col(c).alias("raw_" + c))
     return base.select(
         *[F.col(f"`{c}`") for c in keep], *raw,
-        F.length(F.col(diff_col)).cast("long").alias("diff_length"),
+        *([F.length(F.col(diff_col)).cast("long").alias("diff_length")] if diff_col is not None else []),
         F.length(F.col(code_col)).cast("long").alias("func_before_length"),
         *metric_columns(code_col),
-        T.lines_added(F.col(diff_col)).cast("long").alias("lines_added"),
-        T.lines_removed(F.col(diff_col)).cast("long").alias("lines_removed"),
+        *([T.lines_added(F.col(diff_col)).cast("long").alias("lines_added"),
+           T.lines_removed(F.col(diff_col)).cast("long").alias("lines_removed")] if diff_col is not None else []),
     )

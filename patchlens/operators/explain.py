@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def scaler_stats(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
@@ -120,11 +123,13 @@ def shap_waterfall(shap: DataFrame) -> DataFrame:
 MAX_BACKGROUND = 10_000
 #: Predictions that a task makes and groups.
 STATES = 1 << 20
+#: States that a task holds as a matrix for a scorer of arrays.
+HELD_STATES = 1 << 17
 
 
 # M14
 def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, predict, n_perm: int = 16,
-                 seed: int = 42, id_col: str = "row_id") -> DataFrame:
+                 seed: int = 42, id_col: str = "row_id", scorer=None) -> DataFrame:
     """Model-agnostic Shapley values by permutation sampling (Monte Carlo).
 
     Each explained row gets ``n_perm`` samples; sample p draws a feature
@@ -135,6 +140,8 @@ def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, pr
     No all-pairs product: each sample is an equi-join to one background row.
     Work is linear in ``rows``. ``background`` is a sample of at most ``MAX_BACKGROUND`` rows, which is
     checked; ``predict(df)`` returns df with a ``prob`` column.  Returns (row_id, feature, phi).
+    ``scorer``: the same model as a function of a (rows, features) array of doubles, nulls as 0. With it a row's
+    states are built, scored and averaged in Arrow batches, so that none becomes a row.
     """
     spark = rows.sparkSession
     bg = background.select(*[F.col(f).alias("bg_" + f) for f in features])
@@ -151,6 +158,10 @@ def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, pr
     # A row's states stay with it: dealt out by id, neither grouping shuffles them.
     own = rows.select(id_col, *features)
     tasks = max(1, -(-own.count() * n_perm * (len(features) + 1) // STATES))
+    if scorer is not None:
+        orders = [r["order"] for r in plan.orderBy("perm").collect()]
+        known = bg.orderBy("bg_idx").select(*[F.coalesce(F.col("bg_" + f).cast("double"), F.lit(0.0)) for f in features]).collect()
+        return _sampled_by_arrays(own.repartition(tasks, id_col), features, np.array(known, float), orders, scorer, seed, id_col)
     samples = (own.repartition(tasks, id_col).select(id_col, *features, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
                .withColumn("bg_idx", F.pmod(F.xxhash64(F.col(id_col), F.col("perm"), F.lit(seed)), F.lit(n_bg)))
                .join(F.broadcast(plan), "perm")          # n_perm rows
@@ -165,3 +176,29 @@ def sampled_shap(rows: DataFrame, features: list[str], background: DataFrame, pr
     gains = probs.select(id_col, F.posexplode("order").alias("j", "feature"), "p")
     gain = F.get("p", F.col("j") + 1)["prob"] - F.get("p", F.col("j"))["prob"]
     return gains.groupBy(id_col, "feature").agg(F.avg(gain).alias("phi"))
+
+
+def _sampled_by_arrays(rows: DataFrame, features: list[str], background: np.ndarray, orders: list, scorer, seed: int, id_col: str) -> DataFrame:
+    """``sampled_shap`` of the same samples, a batch of rows at a time."""
+    width, n_perm = len(features), len(orders)
+    place = np.array([[order.index(f) for f in features] for order in orders])            # sample, feature: from 0
+    own = place[:, None, :] < np.arange(width + 1)[None, :, None]                         # sample, state, feature: the row's value
+    step = max(1, HELD_STATES // (n_perm * (width + 1)))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                x = part.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, 1, 1, width)
+                at = part.column("_bg").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_perm)
+                states = np.where(own, x, background[at][:, :, None, :])
+                gain = np.diff(scorer(states.reshape(-1, width)).reshape(-1, n_perm, width + 1), axis=2)
+                phi = np.take_along_axis(gain, np.broadcast_to(place, (len(x), n_perm, width)), axis=2).mean(axis=1)
+                ends = pa.array(np.arange(0, phi.size + 1, width, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))], [id_col, "_phi"])
+
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(n_perm - 1)), lambda p: F.pmod(F.xxhash64(F.col(id_col), p, F.lit(seed)), F.lit(len(background))))
+    given = rows.select(id_col, F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).alias("_x"), drawn.alias("_bg"))
+    schema = StructType([given.schema.fields[0], *StructType.fromDDL("_phi array<double>").fields])
+    wide = given.mapInArrow(run, schema).groupBy(id_col).agg(*[F.avg(F.col("_phi")[i]).alias(f"_phi{i}") for i in range(width)])
+    return wide.select(id_col, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_phi{i}").alias("phi")) for i, f in enumerate(features)])))

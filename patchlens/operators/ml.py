@@ -15,6 +15,7 @@ from __future__ import annotations
 from functools import partial
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
@@ -225,8 +226,11 @@ def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def fit_pipeline(train: DataFrame, features: list[str], make_estimator=None) -> PipelineModel:
-    """Scaler (population std of ``train``), vector and model as one pipeline that is saved and loaded whole."""
+def fit_pipeline(train: DataFrame, features: list[str], make_estimator=None, fit=None) -> PipelineModel:
+    """Scaler (population std of ``train``), vector and model as one pipeline that is saved and loaded whole.
+
+    ``fit(estimator, rows)`` makes the model of the prepared rows in place of the estimator: with ``scoring_model`` one to score with, not to save.
+    """
     stats = fit_scaler(train, features)
     cols = [f"coalesce(cast(`{f}` as double), 0.0D)" for f in features]
     scaled = ", ".join((f"({c} - {m!r}D) / {s!r}D" if s else "0.0D") + f" AS `z_{f}`" for c, f, (m, s) in
@@ -235,7 +239,22 @@ def fit_pipeline(train: DataFrame, features: list[str], make_estimator=None) ->
               VectorAssembler(inputCols=["z_" + f for f in features], outputCol="features", handleInvalid="keep")]
     weighted = balanced_weights(train)
     estimator = make_estimator(weighted) if make_estimator else logreg(weight_sum(weighted))
-    return fitted(Pipeline(stages=[*stages, estimator]), weighted)
+    if fit is None:
+        return fitted(Pipeline(stages=[*stages, estimator]), weighted)
+    rows = PipelineModel(stages).transform(weighted).select("label", "weight", "features")
+    model = PipelineModel([*stages, fit(estimator, rows)])
+    model.scaler = stats
+    return model
+
+
+def array_scorer(model: PipelineModel):
+    """P(label = 1) of the rows of a matrix of raw features (nulls as 0), as ``fit_pipeline``'s model with a grown forest gives it; None for other models."""
+    forest_, stats = model.stages[-1], getattr(model, "scaler", None)
+    if stats is None or not isinstance(forest_, forests.ForestModel):
+        return None
+    mean = np.array([m for m, _ in stats.values()], float)
+    std = np.array([s or np.inf for _, s in stats.values()], float)        # a constant feature scales to 0
+    return lambda x: forest_.probabilities((x - mean) / std)
 
 
 # M12

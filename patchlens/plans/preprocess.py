@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions import text as T
-from patchlens.functions.enrich import enrich_all
+from patchlens.functions.enrich import DIFF_FEATURES, enrich_all
 from patchlens.operators import filters as P
 from patchlens.operators import sampling as W
 from patchlens.session import materialize
@@ -32,18 +32,23 @@ def collected_rows(raw: DataFrame, quotas: dict | None = None) -> DataFrame:
 
 
 def ready(raw: DataFrame, quotas: dict | None = None, use_security_terms: bool = True,
-          shuffle: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """Schema *function_ready* (plus ``row_id``); with ``columns`` only those of the collected ones and what the steps here read."""
+          shuffle: bool = False, columns: list[str] | None = None, diff: bool = True) -> DataFrame:
+    """Schema *function_ready* (plus ``row_id``); with ``columns`` only those of the collected ones and what the steps here read.
+
+    Without ``diff`` the patch, by far the longest column, is filtered by and then neither stored nor cleaned.
+    """
     df = P.select_rename(collected_rows(raw, quotas), keep=["row_id"])
     df = P.constant_columns(df, {"files_changed": 1}, drop=["files_changed"])
     if columns is not None:
         df = df.select("row_id", *[c for c in df.columns if c in {*columns, "diff", "func_before", "label"}])
+    if not diff:
+        df = df.drop("diff")
     # Read twice by the dedup, by its key columns and whole: stored, the filters and joins behind it run once.
     df = W.dedup_keep_first(materialize(df), ["func_before", "label"], order="row_id")
     df = P.fill_nulls(df, P.FUNCTION_FILLS)
-    df = df.withColumn("diff", T.clean_patch(F.col("diff")))
-    df = (df.withColumn("diff_length", F.length("diff").cast("long"))
-            .withColumn("func_before_length", F.length("func_before").cast("long"))
+    if diff:
+        df = df.withColumn("diff", T.clean_patch(F.col("diff"))).withColumn("diff_length", F.length("diff").cast("long"))
+    df = (df.withColumn("func_before_length", F.length("func_before").cast("long"))
             .withColumn("has_security_terms",
                         T.has_security_terms(F.col("func_before"), T.FUNCTION_SECURITY_TERMS,
                                              use_security_terms)))
@@ -52,10 +57,12 @@ def ready(raw: DataFrame, quotas: dict | None = None, use_security_terms: bool =
     return df
 
 
-def enriched(raw: DataFrame, quotas: dict | None = None, columns: list[str] | None = None) -> DataFrame:
+def enriched(raw: DataFrame, quotas: dict | None = None, columns: list[str] | None = None, features: list[str] | None = None) -> DataFrame:
     """Schema *function_enriched*: ready + the seven code metrics, with the
-    diff line counts recomputed from the cleaned diff. ``columns`` as in ``ready``."""
-    return enrich_all(ready(raw, quotas, columns=columns), "func_before", "diff")
+    diff line counts recomputed from the cleaned diff. ``columns`` as in ``ready``; with ``features`` none of which
+    is the diff's, the diff and its features are left out."""
+    diff = features is None or bool(set(features) & set(DIFF_FEATURES))
+    return enrich_all(ready(raw, quotas, columns=columns, diff=diff), "func_before", "diff" if diff else None)
 
 
 def feature_means_by_class(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:

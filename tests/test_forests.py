@@ -5,9 +5,12 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from patchlens.operators import explain as X
 from patchlens.operators import forests as FO
 from patchlens.operators import metrics as M
 from patchlens.operators import ml as ML
+from patchlens.plans import preprocess as PP
+from patchlens.sources.fixtures import functions_raw
 
 
 def rows_of(spark, n=3000):
@@ -115,3 +118,42 @@ def test_no_row_but_those_of_the_two_classes(rows):
         FO.grow(rows.limit(0), 2, 2, 1)
     pure = FO.grow(rows.withColumn("label", F.lit(1)), 2, 3, 1)
     assert np.allclose(pure.probabilities(np.array([[1.0, 1.0, 2.0]])), 1)
+
+
+def test_sampled_values_by_arrays_are_those_of_states_as_rows(rows, monkeypatch):
+    features = ["a", "b", "c"]
+    some = rows.select("row_id", *features).where("row_id < 60").withColumn("a", F.when(F.col("row_id") != 5, F.col("a")))
+    bg = rows.select(*features).where("row_id > 2990")
+    a, b, c = (F.coalesce(F.col(f), F.lit(0.0)) for f in features)
+    monkeypatch.setattr(X, "HELD_STATES", 100)
+
+    def of(scorer):
+        out = X.sampled_shap(some, features, bg, lambda d: d.withColumn("prob", a * b - c + a), n_perm=4, scorer=scorer)
+        return out, {(r["row_id"], r["feature"]): r["phi"] for r in out.collect()}
+    _, want = of(None)
+    out, got = of(lambda x: x[:, 0] * x[:, 1] - x[:, 2] + x[:, 0])
+    assert got == pytest.approx(want) and len(got) == 180 and len(set(got.values())) > 50
+    assert "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_grown_forest_scores_arrays_as_its_pipeline_scores_rows(rows, monkeypatch):
+    features = ["a", "b", "c"]
+    plain = rows.select("row_id", "label", *features)
+    assert ML.array_scorer(ML.fit_pipeline(plain, features, lambda d: ML.forest(n_trees=3), fit=ML.scoring_model)) is None
+    monkeypatch.setattr(ML, "DEALT_ROWS", 100)
+    model = ML.fit_pipeline(plain, features, lambda d: ML.forest(n_trees=5), fit=ML.scoring_model)
+    some = plain.limit(100).withColumn("b", F.when(F.col("row_id") % 3 > 0, F.col("b"))).collect()
+    df = rows.sparkSession.createDataFrame(some, "row_id long, label int, a double, b double, c double")
+    want = {r["row_id"]: r["prob"] for r in ML.score(model, df).collect()}
+    got = ML.array_scorer(model)(np.array([[r["a"], r["b"] or 0.0, r["c"]] for r in some]))
+    assert {r["row_id"]: p for r, p in zip(some, got)} == pytest.approx(want)
+
+
+def test_the_diff_is_not_stored_for_features_of_the_code(spark, monkeypatch):
+    stored, one = [], PP.materialize
+    monkeypatch.setattr(PP, "materialize", lambda df: stored.append(df.columns) or one(df))
+    raw = functions_raw(spark, "/root/testdata/sf0.001").where("row_id < 400")
+    code = ["func_before_length", "comment_ratio", "token_diversity"]
+    few, whole = PP.enriched(raw, columns=["project"], features=code), PP.enriched(raw, columns=["project"], features=[*code, "lines_added"])
+    assert "diff" not in stored[0] and "diff" in stored[1] and "lines_added" in whole.columns
+    assert few.exceptAll(whole.select(few.columns)).count() == 0 and few.count() == whole.count() > 0
