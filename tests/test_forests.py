@@ -157,3 +157,14 @@ def test_the_diff_is_not_stored_for_features_of_the_code(spark, monkeypatch):
     few, whole = PP.enriched(raw, columns=["project"], features=code), PP.enriched(raw, columns=["project"], features=[*code, "lines_added"])
     assert "diff" not in stored[0] and "diff" in stored[1] and "lines_added" in whole.columns
     assert few.exceptAll(whole.select(few.columns)).count() == 0 and few.count() == whole.count() > 0
+
+
+def test_folds_carry_only_what_fits_and_scores_need(spark, monkeypatch):
+    from patchlens.catalog import modelsq as MQ
+    stored = []
+    monkeypatch.setattr(MQ, "materialize", lambda df: stored.append(df.columns) or df)
+    monkeypatch.setattr(ML, "cross_validate", lambda folded, make, k: spark.createDataFrame([(0, 0.5)], "fold int, f1 double"))
+    train = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), F.lit("p").alias("project"),
+                                   *[F.col("id").cast("double").alias(f) for f in MQ.EXP_C])
+    monkeypatch.setattr(MQ, "_split", lambda spark, sf, features=None: (train, train))
+    assert MQ.cross_validate(spark, "").count() == 2 and stored == [["row_id", "label", "weight", "features", "fold"]]
